@@ -3,17 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import bpe_encode
+from .knn import knn_join
+from .langid import identify
 from .mixing import mix
 from .quality import quality_filter
 from .secret_scan import secret_scan
+from .sharding import shard_rows
+from .sharding import sql as shard_sql
 from .simhash import near_duplicates
+from .toxicity import toxic_documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest others of every embedding; distances to six digits."""
+    found = knn_join(spark, table(spark, sf_dir, "embeddings"), k=10)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are found toxic, with their probability."""
+    return toxic_documents(spark, table(spark, sf_dir, "documents"))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document, and whether decoding them gives the text back."""
+    return bpe_encode(spark, table(spark, sf_dir, "documents"), keep=["doc_id"], check="round_trip")
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return identify(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The balanced sample of documents: (doc_id, source, n_tokens)."""
     return mix(spark, table(spark, sf_dir, "documents"), columns=["doc_id", "source"], count="n_tokens")
@@ -24,6 +52,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document."""
+    return shard_rows(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All findings in all documents."""
     return secret_scan(table(spark, sf_dir, "documents"))
@@ -34,5 +67,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_filter(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op6_simhash, op9_secrets, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_knn, op2_toxicity, op3_bpe, op4_language, op5_mixing, op6_simhash, op8_sharding, op9_secrets, op10_quality)
+}
+KNN_SQL = """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+pairs AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, list_distance(a.v, b.v) AS d
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, neighbor_id) AS rank FROM pairs)
+SELECT query_id, rank::INTEGER AS rank, neighbor_id, round(d, 6) AS distance FROM ranked WHERE rank <= 10"""
+ORACLE_SQL = {"op1_knn": KNN_SQL, "op8_sharding": shard_sql()}
