@@ -15,6 +15,7 @@ from .sharding import shard_rows
 from .sharding import sql as shard_sql
 from .simhash import near_duplicates
 from .toxicity import toxic_documents
+from .warc import deduplicate_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +53,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headers of the deduplicated archives of all pages."""
+    return deduplicate_pages(spark, table(spark, sf_dir, "pages")).select("uri", "date", "kind", "payload_digest", "payload_length", "refers_to_uri", "refers_to_date")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard and slot of every document."""
     return shard_rows(spark, table(spark, sf_dir, "documents"))
@@ -69,7 +75,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_knn, op2_toxicity, op3_bpe, op4_language, op5_mixing, op6_simhash, op8_sharding, op9_secrets, op10_quality)
+    for f in (op1_knn, op2_toxicity, op3_bpe, op4_language, op5_mixing, op6_simhash, op7_warc, op8_sharding, op9_secrets, op10_quality)
 }
 KNN_SQL = """
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
@@ -78,4 +84,12 @@ pairs AS (
   FROM e a JOIN e b ON a.vec_id <> b.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, neighbor_id) AS rank FROM pairs)
 SELECT query_id, rank::INTEGER AS rank, neighbor_id, round(d, 6) AS distance FROM ranked WHERE rank <= 10"""
-ORACLE_SQL = {"op1_knn": KNN_SQL, "op8_sharding": shard_sql()}
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, url, html, strftime(TIMESTAMP '2024-01-01' + page_id * INTERVAL 1 SECOND, '%Y-%m-%dT%H:%M:%SZ') AS date,
+    min(page_id) OVER (PARTITION BY html) AS first_id FROM pages)
+SELECT p.url AS uri, p.date, CASE WHEN p.page_id = p.first_id THEN 'response' ELSE 'revisit' END AS kind,
+  'sha256:' || sha256(p.html) AS payload_digest, CASE WHEN p.page_id = p.first_id THEN octet_length(encode(p.html)) END::BIGINT AS payload_length,
+  CASE WHEN p.page_id <> p.first_id THEN o.url END AS refers_to_uri, CASE WHEN p.page_id <> p.first_id THEN o.date END AS refers_to_date
+FROM p JOIN p o ON o.page_id = p.first_id"""
+ORACLE_SQL = {"op1_knn": KNN_SQL, "op7_warc": WARC_SQL, "op8_sharding": shard_sql()}
