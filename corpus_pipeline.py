@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparlode.llm.bpe import bpe_encode
 from sparlode.llm.common import save
 from sparlode.llm.mixing import mix
 from sparlode.llm.quality import quality_filter
@@ -31,7 +32,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(spark, docs)
 
 
-STAGES = [("quality rules", quality), ("near-dedup", dedup), ("secret scans", secrets), ("mixing", mixing)]
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The exact BPE ids of each text, and whether they decode to it; the text itself is dropped."""
+    keep = [c for c in docs.columns if c != "text"]
+    return bpe_encode(spark, docs, keep=keep, check="round_trip")
+
+
+STAGES = [("quality rules", quality), ("near-dedup", dedup), ("secret scans", secrets), ("mixing", mixing), ("bpe", tokenize)]
 
 #: Outlier estimates, fingerprints, sampling and BPE are not SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
