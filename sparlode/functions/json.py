@@ -81,7 +81,7 @@ def derive_one(text: str) -> dict:
 @F.pandas_udf(DERIVED)
 def derive(document: pd.Series) -> pd.DataFrame:
     """The canonical document, its text, title and tags, and the payload map."""
-    return pd.DataFrame([derive_one(t) if t is not None else {} for t in document], columns=[f.name for f in DERIVED])
+    return pd.DataFrame([derive_one(t) if t is not None else dict.fromkeys(DERIVED.names) for t in document], columns=DERIVED.names, dtype=object)
 
 
 def json_path(document: Column, path: str) -> Column:

@@ -16,12 +16,16 @@ B, K1 = 0.75, 1.2
 
 def postings(records: DataFrame, fields: dict[str, str], id: str = "id") -> DataFrame:
     """(term, id, tf_text, tf_title, tf_tags). fields: of FIELDS to columns. Frequencies stop at 65,535."""
-    parts = F.concat(*(F.transform(tokens(F.col(c)), lambda t, f=f: F.struct(t.alias("term"), F.lit(f).alias("field"))) for f, c in fields.items()))
+    parts = F.concat(*(F.transform(tokens(F.col(c)), _tagged(f)) for f, c in fields.items()))
     long = records.select(F.col(id).alias("id"), F.explode(parts).alias("t")).select("id", "t.term", "t.field")
     tf = [F.least(F.sum((F.col("field") == f).cast("long")), F.lit(MOST_TF)).alias(f"tf_{f}") for f in FIELDS]
     return long.groupBy("term", "id").agg(*tf)
 
 
+def _tagged(field: str):
+    return lambda t: F.struct(t.alias("term"), F.lit(field).alias("field"))
+
+
 def lengths(records: DataFrame, fields: dict[str, str], id: str = "id") -> DataFrame:
     """(id, len_text, len_title, len_tags)"""
     return records.select(F.col(id).alias("id"), *((F.size(tokens(F.col(fields[f]))).cast("long") if f in fields else F.lit(0).cast("long")).alias(f"len_{f}") for f in FIELDS))

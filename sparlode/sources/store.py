@@ -31,6 +31,12 @@ RECORDS = ("id", "embedding", "norm", "document", "text", "title", "tags_text",
 VERSION = 1
 
 
+def fold(log: DataFrame, columns) -> DataFrame:
+    """The live rows (id and the columns) of a log (seq, op, id, ...): the latest operation of each id, unless it is a delete."""
+    last = log.groupBy("id").agg(F.max_by(F.struct("op", *columns), "seq").alias("r"))
+    return last.filter(F.col("r.op") != "delete").select("id", *(f"r.{c}" for c in columns))
+
+
 class Database:
     """Opened with ``Database.create`` or ``Database.open``; each call sees the newest version, ``records()`` pins one."""
 
@@ -117,8 +123,7 @@ class Database:
         log = self.log()
         if all(s["inserts_only"] for s in self.manifest["segments"]):
             return log.select(*RECORDS)
-        last = log.groupBy("id").agg(F.max_by(F.struct("op", *RECORDS[1:]), "seq").alias("r"))
-        return last.filter(F.col("r.op") != "delete").select("id", *(f"r.{c}" for c in RECORDS[1:]))
+        return fold(log, RECORDS[1:])
 
     def ids(self) -> DataFrame:
         return self.records().select("id")
