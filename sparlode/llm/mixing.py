@@ -129,7 +129,8 @@ def mix(
 
     Null source: a source of its own, named None in ``targets``. Null or empty text: no tokens, but a document that counts.
     Very long texts count whole. Ties in tokens are moved along documents alone. Repeated rows are documents of their own.
-    Empty table: empty result. Extra columns pass through whatever their names. Over ``most_sources`` sources are refused:
+    Empty table: empty result. Extra columns pass through whatever their names; one that
+    has the name ``count`` is an error. Over ``most_sources`` sources are refused:
     their totals are held by the driver.
     """
     need(docs, text, source)
@@ -143,7 +144,10 @@ def mix(
     if count:
         fields.append(T.StructField(count, T.LongType()))
     # What the flight adds: the source, tokens, the fraction left (1: chosen), and a number of the row in its task.
-    extra = [fresh(docs, f"_mix_{x}") + "_mix" for x in ("source", "tokens", "left", "row", "task")]
+    extra = [fresh(docs, f"_mix_{x}") for x in ("source", "tokens", "left", "row", "task")]
+    w_task, w_row = fresh(docs, "_won_task"), fresh(docs, "_won_row")
+    if count and fresh(docs.select(*map(col, names)), count) != count:
+        raise ValueError(f"there is a column {count} already")
     schema = T.StructType([*fields, T.StructField(extra[0], T.StringType()), T.StructField(extra[1], T.LongType()), T.StructField(extra[2], T.DoubleType()), T.StructField(extra[3], T.LongType())])
 
     def run(batches):
@@ -178,13 +182,13 @@ def mix(
     flown, path = save(spark, docs.mapInArrow(run, schema).withColumn(extra[4], F.spark_partition_id()), "mix-flown")
     s, tok, left, row, task = (F.col(x) for x in extra)
     rest = flown.filter(left < 1).select(s.alias("source"), tok.alias("tokens"), left.alias("left"), task.cast("long").alias("task"), row.alias("row"))
-    won, _ = save(spark, rest.groupBy("source").applyInPandas(_second(seed), "w_task long, w_row long"), "mix-landed")
+    won, _ = save(spark, rest.groupBy("source").applyInPandas(_second(seed, w_task, w_row), f"`{w_task}` long, `{w_row}` long"), "mix-landed")
     won = won if won.count() > 1_000_000 else F.broadcast(won)
-    undecided = flown.filter(left < 1).join(won, (task == F.col("w_task")) & (row == F.col("w_row")), "left_semi")
+    undecided = flown.filter(left < 1).join(won, (task == F.col(w_task)) & (row == F.col(w_row)), "left_semi")
     return flown.filter(left == 1).unionByName(undecided).drop(*extra)
 
 
-def _second(seed: int):
+def _second(seed: int, task: str, row: str):
     def second(pdf):
         pdf = pdf.sort_values(["task", "row"])
         held, decided = [], []
@@ -194,6 +198,6 @@ def _second(seed: int):
         won = [x[2] for x in decided if x[0] == 1.0]
         import pandas as pd
 
-        return pd.DataFrame({"w_task": np.array([t for t, _ in won], dtype=np.int64), "w_row": np.array([r for _, r in won], dtype=np.int64)})
+        return pd.DataFrame({task: np.array([t for t, _ in won], dtype=np.int64), row: np.array([r for _, r in won], dtype=np.int64)})
 
     return second
