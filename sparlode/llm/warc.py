@@ -69,7 +69,7 @@ def revisit(rid: str, uri, date, payload_digest, refers: tuple, block: bytes) ->
 
 
 def members(stream):
-    """(offset, length, content) for each record of an open archive, compressed or not. A record that is cut off at the end is left out."""
+    """(offset, length, content) for each record of an open archive, compressed or not. At a record that is cut off or damaged the archive ends."""
     at, held = 0, b""
     while True:
         held = held or stream.read(_CHUNK)
@@ -80,7 +80,10 @@ def members(stream):
             while not d.eof:
                 if not held and not (held := stream.read(_CHUNK)):
                     return
-                parts.append(d.decompress(held))
+                try:
+                    parts.append(d.decompress(held))
+                except zlib.error:
+                    return
                 size += len(held) - len(d.unused_data)
                 held = d.unused_data
             content = b"".join(parts)
