@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import col, need, slices
 
 #: Every part contains one of these, so most texts are done after one pass.
-_some = re.compile(r"[=:@]|[A-Za-z0-9+/_-]{20}")
+_some = re.compile(r"[=:@]|[A-Za-z0-9+/_-]{20}|-----BEGIN|xox[abprs]-|eyJ")
 _access = re.compile(
     r"\b(?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{16}\b"
     r"|(?i:\b(?:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?|key_?id)\b[\"']?\s*[=:]\s*[\"']?)(?P<v>[\w.@+-]{3,128})"
