@@ -13,6 +13,7 @@ encodings of pre-tokens that recur. Encoding is a map over rows: nothing is shuf
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterable
 
 import ahocorasick
@@ -152,10 +153,10 @@ def _is_text(t: bytes) -> bool:
 def _encoder(spark: SparkSession, path: str, pattern: str | None):
     """A function that gives the worker's encoder. Vocabulary and merges (about 1 MB) are read once, by the driver, and broadcast."""
     tokens = read_vocabulary(path)
-    shared = spark.sparkContext.broadcast((tokens, splits(tokens)))
+    shared, key = spark.sparkContext.broadcast((tokens, splits(tokens))), ("bpe", uuid.uuid4().hex)
 
     def get() -> Encoder:
-        state, key = worker_state(), ("bpe", shared.id if hasattr(shared, "id") else 0, path, pattern)
+        state = worker_state()
         if key not in state:
             for old in [k for k in state if isinstance(k, tuple) and k[0] == "bpe"]:
                 del state[old]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -133,11 +134,11 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None, *
     """
     need(docs, id, text)
     model = model or train(spark, docs, text=text, lang=lang, **how)
-    shared = spark.sparkContext.broadcast((model.langs, model.words, model.grams))
+    shared, key = spark.sparkContext.broadcast((model.langs, model.words, model.grams)), uuid.uuid4().hex
 
     def run(batches):
         state = worker_state()
-        if state.get("langid", (None,))[0] != (key := (id, shared.id if hasattr(shared, "id") else None)):
+        if state.get("langid", (None,))[0] != key:
             m = Model.__new__(Model)
             m.langs, m.words, m.grams = shared.value
             m.kept = {}
