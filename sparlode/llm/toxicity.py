@@ -35,7 +35,7 @@ _HARSH = {w for k in ("wit", "worth", "disgust", "ridicule", "profanity", "germa
 _OF = {w: i for i, k in enumerate(LEXICONS) for w in LEXICONS[k].split()}
 _AMBIGUOUS = {"nobody", "waste", "failure", "pigs", "joke", "fraud", "fool", "fools", "raté", "tonto", "basura", "hopeless", "inferior"}
 _threat = re.compile(r"(?i)\b(?:i(?:'ll| will)? (?:kill|hurt|destroy|beat) you|kill yourself|go die|hope you die|you (?:deserve to|should|will|must) die|shut up)\b")
-_masked = re.compile(r"(?i)\b(?:[1!]d[i1!]ot|m[0*]r[0*]n|st[*u]p[*1!]d|f[*u][*c]k\w*|sh[*1!]t\w*|b[*1!]tch\w*|a[s$]{2}h[*0]le|l[0*]ser|tr[*@]sh|sc[*]m)\b")
+_masked = re.compile(r"(?i)\b(?:[1!]d[i1!]ot|m[0*o]r[0*o]n|st[*u]p[*1!i]d|f[*u][*c]k\w*|sh[*1!]t\w*|b[*1!]tch\w*|a[s$]{2}h[*0]le|l[0*]ser|tr[*@]sh|sc[*]m)\b")
 _you = {"you", "your", "youre", "u", "du", "dich", "ihr", "tu", "vous", "toi", "tú", "usted", "eres"}
 NAMES = [*LEXICONS, "addressed", "several", "dense", "shouted", "threat", "masked"]
 VOTERS = len(NAMES)
@@ -144,18 +144,21 @@ def fit_linear(rows: list[list[int]], y: np.ndarray, weight: np.ndarray, size: i
     """Weights and bias of logistic regression on soft labels over sets of words, with an L1 penalty, by accelerated proximal gradient."""
     at = np.fromiter((k for r in rows for k in r), dtype=np.int64)
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    if not len(at):
+        mean = min(max(float(np.average(y, weights=weight)) if len(rows) else 0.0, 1e-9), 1 - 1e-9)
+        return np.zeros(size), math.log(mean / (1 - mean))
     # The step: a bound of the largest eigenvalue by power iteration.
     v, top = np.ones(size), 1.0
     weight = weight / max(weight.sum(), 1e-12)
     for _ in range(12):
-        u = np.bincount(of, weights=v[at], minlength=len(rows)) if len(at) else np.zeros(len(rows))
+        u = np.bincount(of, weights=v[at], minlength=len(rows))
         v = np.bincount(at, weights=(u * weight)[of], minlength=size)
         top = np.linalg.norm(v) or 1.0
         v /= top
     rate = 1 / (0.25 * (top + 1) * 1.1)
     w, z, t, bias, zb = np.zeros(size), np.zeros(size), 1.0, 0.0, 0.0
     for _ in range(steps):
-        margin = (np.bincount(of, weights=z[at], minlength=len(rows)) if len(at) else np.zeros(len(rows))) + zb
+        margin = np.bincount(of, weights=z[at], minlength=len(rows)) + zb
         g = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y) * weight
         new = z - rate * np.bincount(at, weights=g[of], minlength=size)
         new = np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0)
@@ -180,7 +183,7 @@ def train(
     spark: SparkSession, docs: DataFrame, *, text: str = "text", sample: int = 4000, least: int = 5, penalty: float = 5e-4
 ) -> tuple[dict[str, float], float, LabelModel]:
     """(word weights, bias, label model). The votes of all documents make the label model; the classifier is fitted on at most
-    ``sample`` distinct texts with votes and as many without, those with the least hashes, and on words that ``least`` of them have."""
+    ``sample`` distinct texts with votes and as many without, those with the least hashes, and on words that ``least`` of them have (fewer in a sample of under 80)."""
     hashed = docs.select(F.xxhash64(col(text).cast("string")).alias("row_hash"), col(text).cast("string").alias("text")).filter("text IS NOT NULL")
     voted, path = save(spark, hashed.mapInArrow(_mask_batches, "row_hash long, mask int"), "toxicity-votes")
     counts = voted.groupBy("mask").count().collect()  # at most 2**VOTERS rows
@@ -190,7 +193,7 @@ def train(
     wanted = spark.createDataFrame([(h,) for h in chosen], "row_hash long")
     texts = hashed.join(F.broadcast(wanted), "row_hash", "left_semi").groupBy("row_hash").agg(F.first("text").alias("text"))
     rows, _ = save(spark, texts.mapInArrow(_word_batches, "row_hash long, words array<string>"), "toxicity-sample")
-    vocabulary = [r[0] for r in rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("word").orderBy("word").collect()]
+    vocabulary = [r[0] for r in rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= min(least, 1 + len(chosen) // 20)).select("word").orderBy("word").collect()]
     number = {w: k for k, w in enumerate(vocabulary)}
     ids, y, patterns = [], [], []
     for r in rows.orderBy("row_hash").toLocalIterator():
