@@ -1,0 +1,74 @@
+import random
+import string
+
+from sparlode.llm.queries import op9_secrets
+from sparlode.llm.secret_scan import nearest, redact, redact_secrets, scan, secret_scan
+
+from .conftest import prose
+
+RANDOM = "q9Zt3LmX7vBw2KpR8sYd4NfG"
+
+
+def parts(text, **how):
+    return [(k, text[s[0] : s[1]], a and text[a[0] : a[1]], e and text[e[0] : e[1]]) for k, s, a, e in scan(text, **how)]
+
+
+def test_weak_ones_need_an_identifier():
+    assert parts(f"see {RANDOM} here") == []
+    assert parts(f"host db.example.com:5432 {RANDOM}") == []
+    assert parts(f"user: anna {RANDOM}") == [("weak", RANDOM, "anna", None)]
+    assert parts(f"user=anna https://x.example.com/a {RANDOM}") == [("weak", RANDOM, "anna", "https://x.example.com/a")]
+    assert parts("user=anna" + " y" * 200 + f" {RANDOM}") == [] and len(parts("user=anna" + " y" * 200 + f" {RANDOM}", window=1000)) == 1
+
+
+def test_strong_ones_stand_alone():
+    assert parts('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"') == [("strong", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", None, None)]
+    assert parts("ghp_" + "a1B2" * 9)[0][0] == "strong"
+    key = "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----"
+    assert parts("x " + key + " y") == [("strong", key, None, None)]
+    assert scan(None) == scan("") == scan(prose(1, 500)) == []
+
+
+def test_nearest_by_brute_force():
+    rng = random.Random(5)
+    for _ in range(400):
+        at, others = 0, []
+        for _ in range(rng.randrange(6)):
+            at += rng.randrange(1, 40)
+            others.append((at, at := at + rng.randrange(1, 9)))
+        a = rng.randrange(200)
+        span = (a, a + rng.randrange(1, 9))
+        if any(x < span[1] and span[0] < y for x, y in others):
+            continue
+        gaps = [(max(x - span[1], span[0] - y, 0), (x, y)) for x, y in others]
+        want = min((g for g in gaps if g[0] <= 30), default=(0, None))[1]
+        assert nearest(span, others, [x for x, _ in others], 30) == want
+
+
+def test_redaction_leaves_the_rest():
+    text = f"user: anna pass {RANDOM} end"
+    assert redact(text) == "user: [SECRET] pass [SECRET] end" and scan(redact(text)) == []
+    for t in (None, "", prose(2, 300)):
+        assert redact(t) is t
+
+
+def test_many_parts_in_one_text():
+    rng = random.Random(1)
+    text = " ".join(f"user=u{i} {''.join(rng.choice(string.ascii_letters + string.digits) for _ in range(24))}1a" for i in range(4000))
+    assert len(scan(text)) > 3500
+
+
+def test_edges(spark, edge_docs, no_docs):
+    assert secret_scan(edge_docs).collect() == [] and secret_scan(no_docs).collect() == []
+    same = redact_secrets(edge_docs)
+    assert same.schema == edge_docs.schema and sorted(map(repr, same.collect())) == sorted(map(repr, edge_docs.collect()))
+    df = spark.createDataFrame([(1, f"user=anna {RANDOM}", 35)] * 2 + [(None, "password: hunter2hunter2", 24)], "doc_id long, text string, n_chars long")
+    got = secret_scan(df).collect()
+    assert sorted((str(r["doc_id"]), r["strength"]) for r in got) == [("1", "weak"), ("1", "weak"), ("None", "strong")]
+    assert all(RANDOM not in str(r) for r in got)
+    assert all(r["n_chars"] == len(r["text"]) and "[SECRET]" in r["text"] for r in redact_secrets(df).collect())
+
+
+def test_query(spark, sf, documents):
+    want = [(r["doc_id"], k, *s) for r in documents.collect() for k, s, _, _ in scan(r["text"])]
+    assert sorted((r["doc_id"], r["strength"], r["start"], r["end"]) for r in op9_secrets(spark, sf).collect()) == sorted(want)
