@@ -29,7 +29,8 @@ from .common import col, fresh, need, slices, worker_state
 #: How a text is cut before BPE: contractions, letters, digits and signs with a space before them, white space.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-_KEPT = 400_000
+#: Pre-tokens whose ids a worker keeps (about 250 bytes each), and pairs.
+_KEPT = 120_000
 
 
 def read_vocabulary(path: str) -> list[bytes]:
@@ -67,17 +68,17 @@ class Encoder:
         self.tokens, self.lengths = tokens, [len(t) for t in tokens]
         self.left, self.right = table[:, 0].tolist(), table[:, 1].tolist()
         self.merged = {(a, b): i for i, (a, b) in enumerate(zip(self.left, self.right, strict=True)) if a != i}
-        self.missing = {bytes([b]) for b in range(256)} - set(tokens)
         self.cut = regex.compile(pattern).findall if pattern else lambda text: [text] if text else []
         self.words: dict[str, list[int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
-        whole = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.numbers = list(range(len(tokens)))  # one object for each id, however often it is kept
+        trie = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for i, t in enumerate(tokens):
             if len(t) == 1 or self.left[i] != i:  # a longer token without a merge is never made
-                whole.add_word(t.decode("latin-1"), i)
-        whole.make_automaton()
-        self.suffixes = whole.iter
-        self.ids = {t.decode("utf-8"): [i] for i, t in enumerate(tokens) if (len(t) == 1 or self.left[i] != i) and _is_text(t)}
+                trie.add_word(t.decode("latin-1"), i)
+        trie.make_automaton()
+        self.suffixes = trie.iter
+        self.whole = {t.decode("utf-8"): [self.numbers[i]] for i, t in enumerate(tokens) if (len(t) == 1 or self.left[i] != i) and _is_text(t)}
 
     def compatible(self, p: int, t: int) -> bool:
         """Whether BPE leaves p and t as they are when they stand side by side."""
@@ -111,12 +112,12 @@ class Encoder:
             start = end + 1 - lengths[t]
             if start == 0 or last[start] >= 0 and self.compatible(last[start], t):
                 last[end + 1] = t
-        out, at = [], len(data)
+        out, at, numbers = [], len(data), self.numbers
         while at:
             t = last[at]
             if t < 0:
                 raise ValueError("the vocabulary lacks bytes of this text")
-            out.append(t)
+            out.append(numbers[t])
             at -= lengths[t]
         out.reverse()
         return out
@@ -126,7 +127,7 @@ class Encoder:
         for w in self.cut(text):
             ids = words.get(w)
             if ids is None:
-                ids = self.ids.get(w) or self.piece(w.encode("utf-8", "surrogatepass"))
+                ids = self.whole.get(w) or self.piece(w.encode("utf-8", "surrogatepass"))
                 if len(w) <= 64:
                     if len(words) >= _KEPT:
                         words.clear()
@@ -153,13 +154,12 @@ def _is_text(t: bytes) -> bool:
 def _encoder(spark: SparkSession, path: str, pattern: str | None):
     """A function that gives the worker's encoder. Vocabulary and merges (about 1 MB) are read once, by the driver, and broadcast."""
     tokens = read_vocabulary(path)
-    shared, key = spark.sparkContext.broadcast((tokens, splits(tokens))), ("bpe", uuid.uuid4().hex)
+    shared, key = spark.sparkContext.broadcast((tokens, splits(tokens))), uuid.uuid4().hex
 
     def get() -> Encoder:
-        state = worker_state()
+        state = worker_state("bpe")
         if key not in state:
-            for old in [k for k in state if isinstance(k, tuple) and k[0] == "bpe"]:
-                del state[old]
+            state.clear()
             state[key] = Encoder(*shared.value, pattern)
         return state[key]
 

@@ -66,13 +66,16 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def worker_state() -> dict:
-    """A dictionary that lives as long as the Python worker, over its tasks."""
+def worker_state(kind: str) -> dict:
+    """A dictionary that lives as long as the Python worker, over its tasks, until another kind of operator runs in it."""
     name = "_sparlode_worker_state"
     if name not in sys.modules:
         sys.modules[name] = types.ModuleType(name)
-        sys.modules[name].state = {}
-    return sys.modules[name].state
+        sys.modules[name].kind = None
+    held = sys.modules[name]
+    if held.kind != kind:
+        held.kind, held.state = kind, {}
+    return held.state
 
 
 def texts_of(batch: pa.RecordBatch, name: str) -> list:

@@ -137,7 +137,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None, *
     shared, key = spark.sparkContext.broadcast((model.langs, model.words, model.grams)), uuid.uuid4().hex
 
     def run(batches):
-        state = worker_state()
+        state = worker_state("langid")
         if state.get("langid", (None,))[0] != key:
             m = Model.__new__(Model)
             m.langs, m.words, m.grams = shared.value

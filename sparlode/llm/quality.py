@@ -40,7 +40,7 @@ def chi2_quantile(p: float, k: int) -> float:
 
 def _classes() -> np.ndarray:
     """For each code point of the basic plane: 0 space, 1 lower or caseless letter, 2 upper-case letter, 3 digit or mark, 4 other."""
-    state = worker_state()
+    state = worker_state("quality")
     if "classes" not in state:
         t = np.full(65536, 4, dtype=np.uint8)
         for i in range(65536):
