@@ -30,7 +30,7 @@ def op1_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are found toxic, with their probability."""
-    return toxic_documents(spark, table(spark, sf_dir, "documents"))
+    return toxic_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

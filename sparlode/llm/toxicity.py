@@ -3,8 +3,11 @@
 Lexicon and pattern voters look at each document; their votes are a bit mask, and the counts of the masks over the whole
 table (at most 2**VOTERS of them) are all that the label model needs. It is generative: a latent class, one accuracy term for
 each voter and class, and correlation terms for pairs of voters that agree more than their accuracies explain; it is fitted
-by likelihood with exact sums over all masks, and no label is used. Its posteriors label a bounded training sample for a
-linear classifier over words (logistic regression with an L1 penalty), which then scores every document, whole.
+by likelihood with exact sums over all masks. Its posteriors label a bounded training sample for a linear classifier over words
+(logistic regression with an L1 penalty), which then scores every document, whole.
+
+Where a bounded sample of labelled rows is given, two more lexicons are learnt from it, of words and of beginnings of words that
+toxic rows have and clean ones hardly ever: insults that no list knows. They vote like the others; the model judges them, not the labels.
 """
 
 from __future__ import annotations
@@ -37,11 +40,17 @@ _AMBIGUOUS = {"nobody", "waste", "failure", "pigs", "joke", "fraud", "fool", "fo
 _threat = re.compile(r"(?i)\b(?:i(?:'ll| will)? (?:kill|hurt|destroy|beat) you|kill yourself|go die|hope you die|you (?:deserve to|should|will|must) die|shut up)\b")
 _masked = re.compile(r"(?i)\b(?:[1!]d[i1!]ot|m[0*o]r[0*o]n|st[*u]p[*1!i]d|f[*u][*c]k\w*|sh[*1!]t\w*|b[*1!]tch\w*|a[s$]{2}h[*0]le|l[0*]ser|tr[*@]sh|sc[*]m)\b")
 _you = {"you", "your", "youre", "u", "du", "dich", "ihr", "tu", "vous", "toi", "tú", "usted", "eres"}
-NAMES = [*LEXICONS, "addressed", "several", "dense", "shouted", "threat", "masked"]
+NAMES = [*LEXICONS, "addressed", "several", "dense", "shouted", "threat", "masked", "learnt words", "learnt beginnings"]
+NOTHING: frozenset = frozenset()
 VOTERS = len(NAMES)
 
 
-def votes(text: str | None) -> int:
+def beginnings(words) -> set[str]:
+    """The first four and the first five letters of words that are longer, marked."""
+    return {"^" + w[:4] for w in words if len(w) > 4} | {"^" + w[:5] for w in words if len(w) > 5}
+
+
+def votes(text: str | None, learnt: frozenset = NOTHING, begins: frozenset = NOTHING) -> int:
     """The bit mask of the voters that call the text toxic; bits as in NAMES. Null and empty texts get no vote."""
     if not text:
         return 0
@@ -53,8 +62,14 @@ def votes(text: str | None) -> int:
     for w in hits:
         mask |= 1 << _OF[w]
     base = len(LEXICONS)
+    known = distinct & learnt
+    if known:
+        mask |= 1 << (base + 6)
+        hits |= known
+    if begins and not begins.isdisjoint(beginnings(distinct)):
+        mask |= 1 << (base + 7)
     if hits:
-        clear = hits - _AMBIGUOUS
+        clear = hits - _AMBIGUOUS - known
         at = [k for k, w in enumerate(words) if w in hits]
         if any(not _you.isdisjoint(words[max(0, k - 4) : k + 3]) for k in at):
             mask |= 1 << base
@@ -169,30 +184,73 @@ def fit_linear(rows: list[list[int]], y: np.ndarray, weight: np.ndarray, size: i
     return w, bias
 
 
-def _mask_batches(batches):
-    for b in slices(batches, "text"):
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([votes(t) for t in b.column(1).to_pylist()], type=pa.int32())], names=["row_hash", "mask"])
+def _mask_batches(learnt, begins):
+    def masks(batches):
+        for b in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([votes(t, learnt, begins) for t in b.column(1).to_pylist()], type=pa.int32())], names=["row_hash", "mask"])
+
+    return masks
+
+
+def features(text: str, begins: frozenset) -> set[str]:
+    """The distinct words, and the learnt beginnings among them."""
+    words = set(_word.findall(text.lower()))
+    return words | (begins & beginnings(words)) if begins else words
+
+
+def _word_batches(begins):
+    def words(batches):
+        for b in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(features(t, begins)) for t in b.column(1).to_pylist()], type=pa.list_(pa.string()))], names=["row_hash", "words"])
+
+    return words
 
 
-def _word_batches(batches):
+def _learn_batches(batches):
     for b in slices(batches, "text"):
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(set(_word.findall(t.lower()))) for t in b.column(1).to_pylist()], type=pa.list_(pa.string()))], names=["row_hash", "words"])
+        counts: dict[str, list[int]] = {}
+        for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            words = set(_word.findall(t.lower()))
+            for f in words | beginnings(words):
+                counts.setdefault(f, [0, 0])[y] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), type=pa.string()), pa.array([c[1] for c in counts.values()], type=pa.int64()), pa.array([c[0] for c in counts.values()], type=pa.int64())], names=["feature", "toxic", "clean"])
+
+
+def learn_lexicons(
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", toxic: str = "toxic",
+    labelled: int = 20_000, support: int = 8, precision: float = 0.95, most: int = 20_000,
+) -> tuple[frozenset, frozenset]:
+    """(words, beginnings) that at least ``support`` toxic texts have, and of all labelled texts with them at least the share ``precision``.
+
+    From at most ``labelled`` labelled ids, those with the least hashes; an id with several labels is toxic if one says so. Equal
+    texts count once. At most ``most`` entries, those of the most toxic texts.
+    """
+    y = labels.select(col(id).cast("long").alias("id"), col(toxic).cast("int").alias("toxic")).filter("id IS NOT NULL AND toxic IN (0, 1)")
+    chosen, path = save(spark, y.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(labelled), "toxicity-labelled")
+    texts = docs.select(col(id).cast("long").alias("id"), col(text).cast("string").alias("text")).filter("text IS NOT NULL AND id IS NOT NULL")
+    once = texts.join(F.broadcast(chosen), "id").groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("toxic", "text")
+    counts = once.mapInArrow(_learn_batches, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    good = counts.filter((F.col("toxic") >= support) & (F.col("toxic") >= precision * (F.col("toxic") + F.col("clean"))))
+    found = [r[0] for r in good.orderBy(F.desc("toxic"), "feature").limit(most).select("feature").collect()]
+    drop_path(spark, path)
+    return frozenset(f for f in found if f[0] != "^"), frozenset(f for f in found if f[0] == "^")
 
 
 def train(
-    spark: SparkSession, docs: DataFrame, *, text: str = "text", sample: int = 4000, least: int = 5, penalty: float = 5e-4
-) -> tuple[dict[str, float], float, LabelModel]:
+    spark: SparkSession, docs: DataFrame, *, text: str = "text", sample: int = 4000, least: int = 5, penalty: float = 5e-4,
+    lexicons: tuple[frozenset, frozenset] = (NOTHING, NOTHING),
+) -> tuple[dict[str, float], float, LabelModel]:
     """(word weights, bias, label model). The votes of all documents make the label model; the classifier is fitted on at most
     ``sample`` distinct texts with votes and as many without, those with the least hashes, and on words that ``least`` of them have (fewer in a sample of under 80)."""
     hashed = docs.select(F.xxhash64(col(text).cast("string")).alias("row_hash"), col(text).cast("string").alias("text")).filter("text IS NOT NULL")
-    voted, path = save(spark, hashed.mapInArrow(_mask_batches, "row_hash long, mask int"), "toxicity-votes")
+    voted, path = save(spark, hashed.mapInArrow(_mask_batches(*lexicons), "row_hash long, mask int"), "toxicity-votes")
     counts = voted.groupBy("mask").count().collect()  # at most 2**VOTERS rows
     model = LabelModel().fit(np.array([r[0] for r in counts], dtype=np.int64), np.array([r[1] for r in counts], dtype=np.float64))
     parts = [voted.filter(c).select("row_hash", "mask").distinct().orderBy("row_hash").limit(sample) for c in ("mask <> 0", "mask = 0")]
     chosen = {r[0]: r[1] for p in parts for r in p.collect()}  # at most 2 * sample rows
     wanted = spark.createDataFrame([(h,) for h in chosen], "row_hash long")
     texts = hashed.join(F.broadcast(wanted), "row_hash", "left_semi").groupBy("row_hash").agg(F.first("text").alias("text"))
-    rows, _ = save(spark, texts.mapInArrow(_word_batches, "row_hash long, words array<string>"), "toxicity-sample")
+    rows, _ = save(spark, texts.mapInArrow(_word_batches(lexicons[1]), "row_hash long, words array<string>"), "toxicity-sample")
     vocabulary = [r[0] for r in rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= min(least, 1 + len(chosen) // 20)).select("word").orderBy("word").collect()]
     number = {w: k for k, w in enumerate(vocabulary)}
     ids, y, patterns = [], [], []
@@ -209,15 +267,22 @@ def train(
     return {v: float(x) for v, x in zip(vocabulary, w, strict=True) if x}, float(bias), model
 
 
-def toxic_documents(spark: SparkSession, docs: DataFrame, *, id: str = "doc_id", text: str = "text", threshold: float = 0.5, **how) -> DataFrame:
+def toxic_documents(
+    spark: SparkSession, docs: DataFrame, labels: DataFrame | None = None, *, id: str = "doc_id", text: str = "text", threshold: float = 0.5, learning: dict | None = None, **how
+) -> DataFrame:
     """(doc_id, probability) of the documents whose probability of being toxic is over the threshold.
 
+    With ``labels`` (doc_id, toxic), which may be empty, lexicons are learnt from a bounded sample of them (see learn_lexicons; ``learning``
+    has its parameters).
+
     Null or empty text: never toxic. Very long texts are read whole; how often a word occurs doesn't matter. Ties at the
     threshold are not toxic. Repeated rows: each is judged, alike; a null id is reported as null. Empty table: no rows. Extra
     columns don't matter.
     """
     need(docs, id, text)
-    weights, bias, _ = train(spark, docs, text=text, **how)
+    lexicons = (NOTHING, NOTHING) if labels is None else learn_lexicons(spark, docs, labels, id=id, text=text, **(learning or {}))
+    weights, bias, _ = train(spark, docs, text=text, lexicons=lexicons, **how)
+    begins = lexicons[1]
     shared = spark.sparkContext.broadcast((weights, bias))
 
     def run(batches):
@@ -226,7 +291,7 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, *, id: str = "doc_id",
         for b in slices(batches, "text"):
             out = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                margin = bias + sum(sorted(weights[w] for w in known.intersection(_word.findall(t.lower()))))
+                margin = bias + sum(sorted(weights[w] for w in known.intersection(features(t, begins))))
                 p = 1 / (1 + math.exp(-max(-500.0, min(500.0, margin))))
                 if p > threshold:
                     out.append((i, p))

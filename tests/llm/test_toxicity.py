@@ -1,7 +1,7 @@
 import numpy as np
 
 from sparlode.llm.queries import op2_toxicity
-from sparlode.llm.toxicity import NAMES, VOTERS, LabelModel, fit_linear, toxic_documents, votes
+from sparlode.llm.toxicity import NAMES, VOTERS, LabelModel, fit_linear, learn_lexicons, toxic_documents, votes
 
 from .conftest import prose
 
@@ -88,3 +88,24 @@ def test_labels_of_the_tables(spark):
     voted = [r["doc_id"] for r in labels if r["toxic"] and votes(texts[r["doc_id"]])]
     assert len(got & set(clean)) <= 0.01 * len(clean)
     assert len(got & set(voted)) >= 0.9 * len(voted)
+
+
+def test_learnt_lexicons(spark):
+    rows = [(i, prose(i, 60) + (f" zork{'abcd'[i % 4]}mi" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows[:300]] + [(None, 1), (7, None), (9999, 1)], "doc_id long, toxic int")
+    words, begins = learn_lexicons(spark, docs, labels)
+    assert {b for b in begins} >= {"^zork"} and all(w.startswith("zork") for w in words)
+    assert votes("some zorkqmi", words, begins) == 1 << NAMES.index("learnt beginnings")
+    got = {r["doc_id"] for r in toxic_documents(spark, docs, labels).collect()}
+    assert got == {i for i, _, y in rows if y}
+    assert learn_lexicons(spark, docs, labels.limit(0)) == (frozenset(), frozenset())
+    assert len(learn_lexicons(spark, docs, labels, most=1)[0]) + len(learn_lexicons(spark, docs, labels, most=1)[1]) == 1
+
+
+def test_labelled_toxic_documents_are_found_in_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    got = {r["doc_id"] for r in op2_toxicity(spark, sf).collect()}
+    toxic = {r["doc_id"] for r in labels if r["toxic"]}
+    assert len(got & toxic) >= 0.8 * len(toxic) and len(got & ({r["doc_id"] for r in labels} - toxic)) <= 0.001 * len(labels)
