@@ -30,7 +30,7 @@ from .common import col, fresh, need, slices, worker_state
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokens whose ids a worker keeps (about 250 bytes each), and pairs.
-_KEPT = 120_000
+_KEPT = 300_000
 
 
 def read_vocabulary(path: str) -> list[bytes]:
@@ -82,12 +82,9 @@ class Encoder:
 
     def compatible(self, p: int, t: int) -> bool:
         """Whether BPE leaves p and t as they are when they stand side by side."""
-        key = (p, t)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) > 2 * _KEPT:
-                self.pairs.clear()
-            known = self.pairs[key] = self._compatible(p, t)
+        if len(self.pairs) > _KEPT:
+            self.pairs.clear()
+        known = self.pairs[p, t] = self._compatible(p, t)
         return known
 
     def _compatible(self, p: int, t: int) -> bool:
@@ -107,11 +104,20 @@ class Encoder:
     def piece(self, data: bytes) -> list[int]:
         """The ids of one pre-token."""
         last = [-1] * (len(data) + 1)
-        lengths = self.lengths
+        lengths, pairs, compatible = self.lengths, self.pairs, self.compatible
         for end, t in self.suffixes(data.decode("latin-1")):
-            start = end + 1 - lengths[t]
-            if start == 0 or last[start] >= 0 and self.compatible(last[start], t):
-                last[end + 1] = t
+            end += 1
+            if last[end] >= 0:  # there is only one, and it has been found
+                continue
+            start = end - lengths[t]
+            if start:
+                p = last[start]
+                if p < 0:
+                    continue
+                fine = pairs.get((p, t))
+                if not (compatible(p, t) if fine is None else fine):
+                    continue
+            last[end] = t
         out, at, numbers = [], len(data), self.numbers
         while at:
             t = last[at]
