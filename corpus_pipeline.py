@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparlode.llm.bpe import bpe_encode
 from sparlode.llm.common import save
-from sparlode.llm.mixing import mix
+from sparlode.llm.mixing import LEAST_KEPT, mix
 from sparlode.llm.quality import quality_filter
 from sparlode.llm.secret_scan import redact_secrets
 from sparlode.llm.simhash import drop_near_duplicates
@@ -29,7 +29,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A balanced sample whose tokens follow the sources' target weights."""
-    return mix(spark, docs)
+    return mix(spark, docs, least=LEAST_KEPT)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

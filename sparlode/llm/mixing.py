@@ -23,6 +23,9 @@ from pyspark.sql import types as T
 
 from .common import col, fresh, need, save, slices
 
+#: Of the tokens, at least this share stays in production, however unequal the sources are.
+LEAST_KEPT = 0.8
+
 
 def tokens_of(text: str | None) -> int:
     """Words between white space."""
@@ -86,18 +89,50 @@ def land(held: list[list], seed: int) -> list[list]:
     return decided
 
 
-def inclusion(totals: dict, targets: dict | None = None, temperature: float = 0.7) -> dict:
-    """Source to inclusion probability: as many tokens as the targets allow without repeating a document.
+def _scale(full: list[tuple], budget: float) -> float:
+    """The scale at which the sources (tokens / weight, tokens, weight; ascending) give ``budget`` tokens, each at most those it has."""
+    if budget >= sum(t for _, t, _ in full):
+        return full[-1][0] if full else 0.0
+    done, rest = 0.0, math.fsum(w for _, _, w in full)
+    for most, t, w in full:
+        if done + most * rest >= budget:
+            return (budget - done) / rest
+        done, rest = done + t, rest - w
+    return full[-1][0] if full else 0.0
+
+
+def inclusion(
+    totals: dict, targets: dict | None = None, temperature: float = 0.7, *,
+    tokens: float | None = None, share: float | None = None, least: float = 0.0, short: float = 0.01,
+) -> dict:
+    """Source to inclusion probability, without repeating a document.
 
     ``totals``: source to (documents, tokens). ``targets``: source to weight of its tokens; sources that are not named get 0
     and those that have no tokens count for nothing. None: weights are the token totals to the power of ``temperature``. A
     source without tokens has probability 1 if its weight is not 0.
+
+    The size of the sample is ``tokens``, or ``share`` of the tokens of all sources with a weight. A source that has fewer
+    than its target is taken whole, and the others share what it lacks by their weights. Without a budget, the size is the
+    largest at which some source just reaches its target and all that fall short together lack at most ``short`` of the
+    sample, so a tiny source doesn't shrink the others; but not under ``least`` of the tokens.
     """
     weight = {s: (float(t) ** temperature if t else 1.0) if targets is None else float(targets.get(s, 0.0)) for s, (_, t) in totals.items()}
     if any(w < 0 or math.isnan(w) for w in weight.values()):
         raise ValueError("weights must be at least 0")
-    most = min((t / weight[s] for s, (_, t) in totals.items() if t and weight[s] > 0), default=0.0)
-    return {s: (min(1.0, weight[s] * most / t) if t else float(weight[s] > 0)) for s, (_, t) in totals.items()}
+    if tokens is not None and share is not None or tokens is not None and not tokens >= 0 or not 0 <= (share or 0.0) <= 1 or not 0 <= least <= 1:
+        raise ValueError("the budget is either tokens, at least 0, or a share from 0 to 1")
+    full = sorted((t / weight[s], t, weight[s]) for s, (_, t) in totals.items() if t and weight[s] > 0)
+    there, weights = sum(t for _, t, _ in full), math.fsum(w for _, _, w in full)
+    if tokens is not None or share is not None:
+        scale = _scale(full, min(tokens if tokens is not None else share * there, there))
+    else:
+        scale = lack_t = lack_w = 0.0
+        for most, t, w in full:
+            if scale and lack_w * most - lack_t > short * weights * most:
+                break
+            scale, lack_t, lack_w = most, lack_t + t, lack_w + w
+        scale = max(scale, _scale(full, least * there))
+    return {s: (1.0 if scale * weight[s] >= t else weight[s] * scale / t) if t else float(weight[s] > 0) for s, (_, t) in totals.items()}
 
 
 def _sum_batches(batches):
@@ -119,10 +154,12 @@ def source_totals(docs: DataFrame, *, text: str = "text", source: str = "source"
 def mix(
     spark: SparkSession, docs: DataFrame, *, targets: dict | None = None, temperature: float = 0.7, seed: int = 11,
     text: str = "text", source: str = "source", columns: list[str] | None = None, count: str | None = None,
-    most_sources: int = 1_000_000,
+    most_sources: int = 1_000_000, tokens: float | None = None, share: float | None = None, least: float = 0.0, short: float = 0.01,
 ) -> DataFrame:
     """The sampled documents: all columns, or ``columns``; with ``count``, their tokens in a column of that name.
 
+    ``tokens``, ``share``, ``least`` and ``short`` set the size of the sample, see ``inclusion``.
+
     In each source the number of documents is within 1 of its target, and the tokens are within about one long document
     of theirs. The sample is a function of the rows, their order in the files and the seed; it is written to the shared
     folder before it is used, so a lost executor can't mix two samples.
@@ -137,8 +174,7 @@ def mix(
     totals = {r[0]: (r[1], r[2]) for r in source_totals(docs, text=text, source=source).take(most_sources + 1)}
     if len(totals) > most_sources:
         raise ValueError(f"more than {most_sources} sources")
-    share = inclusion(totals, targets, temperature)
-    shares = spark.sparkContext.broadcast(share)
+    shares = spark.sparkContext.broadcast(inclusion(totals, targets, temperature, tokens=tokens, share=share, least=least, short=short))
     names = docs.columns if columns is None else list(columns)
     fields = [docs.schema[n] for n in names]
     if count:

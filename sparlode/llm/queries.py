@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_encode
 from .knn import knn_join
 from .langid import identify
-from .mixing import mix
+from .mixing import LEAST_KEPT, mix
 from .quality import quality_filter
 from .secret_scan import secret_scan
 from .sharding import shard_rows
@@ -45,7 +45,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The balanced sample of documents: (doc_id, source, n_tokens)."""
-    return mix(spark, table(spark, sf_dir, "documents"), columns=["doc_id", "source"], count="n_tokens")
+    return mix(spark, table(spark, sf_dir, "documents"), columns=["doc_id", "source"], count="n_tokens", least=LEAST_KEPT)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,3 +81,27 @@ def test_query(spark, sf, documents):
         mine = [r["n_tokens"] for r in out if r["source"] == s]
         assert abs(len(mine) - p * totals[s][0]) <= 1 + 1e-9
         assert abs(sum(mine) - p * totals[s][1]) <= 2 * max(n for x, n in texts.values() if x == s)
+
+
+def test_budget_and_small_sources():
+    even = {str(s): (500, 200_000) for s in range(20)}
+
+    def kept(totals, **how):
+        p = inclusion(totals, **how)
+        return sum(p[s] * t for s, (_, t) in totals.items()) / sum(t for _, t in totals.values())
+
+    for stray in (5, 500, 20_000):
+        assert kept({**even, None: (1, stray)}) > 0.99 and inclusion({**even, None: (1, stray)})[None] == 1.0
+    large = {**even, "large": (100_000, 40_000_000)}
+    assert kept(large) < 0.3 and kept(large, least=0.8) == pytest.approx(0.8) and kept(large, share=0.5) == pytest.approx(0.5)
+    assert kept(large, tokens=2_200_000) == pytest.approx(0.05) and set(inclusion(large, share=1.0).values()) == {1.0}
+    p = inclusion({"a": (1, 1000), "b": (1, 1000), "c": (1, 90)}, {"a": 1, "b": 2, "c": 2}, tokens=990)
+    assert p == {"a": pytest.approx(0.3), "b": pytest.approx(0.6), "c": 1.0}
+    with pytest.raises(ValueError):
+        inclusion(even, share=1.5)
+
+
+def test_query_with_a_stray_document(spark, tmp_path):
+    rows = [(i, prose(i, 200), f"s{i % 4}") for i in range(400)] + [(400, "one two three four five", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert op5_mixing(spark, str(tmp_path)).count() == 401
