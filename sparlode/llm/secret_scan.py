@@ -30,15 +30,27 @@ _access = re.compile(
     r"|(?i:\b(?:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?|key_?id)\b[\"']?\s*[=:]\s*[\"']?)(?P<v>[\w.@+-]{3,128})"
     r"|\b[A-Za-z0-9][\w.+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\b"
 )
-_named = re.compile(
-    r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[\s\S]{0,8000}?-----END (?:[A-Z]+ )*PRIVATE KEY-----)?"
-    r"|\b(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{22,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|glpat-[\w-]{20,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,})"
-    r"|(?i:\b[\w-]{0,20}(?:token|secret|passw(?:or)?d|pwd|api_?key|private_?key|auth_?key|secret_?access_?key)\b[\"']?\s*[=:]\s*[\"']?)(?P<v>[^\s\"'<>,;]{8,512})"
+_begin = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
+_end = re.compile(r"-----END (?:[A-Z]+ )*PRIVATE KEY-----")
+#: What follows the first line of a key block that has no end.
+_body = re.compile(r"(?:\s+[A-Za-z0-9+/=]{16,}(?![^\s]))*")
+_formed = re.compile(
+    r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{22,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|glpat-[\w-]{20,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,})"
+    r"|(?i:\b[\w-]{0,20}(?:token|secret|passw(?:or)?d|pwd|api_?key|private_?key|auth_?key|secret_?(?:access_?)?key)\b[\"']?\s*[=:]\s*[\"']?)(?P<v>[^\s\"'<>,;]{8,512})"
+    r"|(?i:\b(?P<n>[\w-]{0,20}[_-]key)\b[\"']?\s*[=:]\s*[\"']?)(?P<w>[^\s\"'<>,;=:&#]{16,512})"
 )
-_random = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,512}={0,2}(?![A-Za-z0-9+/_-])")
+#: Names in _key whose values are no secrets; those of the others must look random.
+_open = re.compile(r"(?i:access|public|primary|foreign|partition|sort)[_-]key\Z")
+_rest = re.compile(r"[^\s\"'<>,;]*")
+_random = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,512}={0,2}(?![A-Za-z0-9+/_-])")
+_url = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{3,}")
+_login = re.compile(r"://(?P<user>[^\s:/?#]*)(?P<pair>:(?P<password>[^\s/?#]*))?@")
+#: Parts of a path, and the values of a query or fragment.
+_piece = re.compile(r"(?<=[/?#&=;])[^/?#&=;]{20,}={0,2}(?=[/?#&;]|\Z)")
+_word_piece = re.compile(r"[A-Za-z0-9_+]+={0,2}\Z")
+_plain = re.compile(r"[A-Za-z0-9+_.~%-]+={0,2}\Z")
 _endpoint = re.compile(
-    r"\b[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{3,512}"
-    r"|\b(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}:\d{2,5}\b"
+    r"\b(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}:\d{2,5}\b"
     r"|\b(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?\b"
     r"|(?i:\b(?:host|endpoint|server)\b[\"']?\s*[=:]\s*[\"']?)(?P<v>[\w.-]{3,255})"
 )
@@ -81,17 +93,103 @@ def nearest(span: tuple[int, int], others: list[tuple[int, int]], starts: list[i
     return best and best[1]
 
 
+def _blocks(text: str) -> list[tuple[int, int]]:
+    """Private keys from BEGIN to END, of any length; those without an END, as far as their lines go on."""
+    begins = list(_begin.finditer(text))
+    ends = [m.end() for m in _end.finditer(text)] if begins else []
+    out = []
+    for m, later in zip(begins, [*(x.start() for x in begins), len(text)][1:], strict=True):
+        k = bisect_left(ends, m.end())
+        out.append((m.start(), ends[k] if k < len(ends) and ends[k] <= min(later, m.end() + 8000) else _body.match(text, m.end()).end()))
+    return out
+
+
+def _logins(text: str, urls: list[tuple[int, int]]) -> list[re.Match | None]:
+    """User and password of each URL. The authority has no other place for an at sign, so the last one before the path ends them."""
+    return [_login.match(text, text.index("://", a), b) for a, b in urls]
+
+
+def _assigned(text: str, urls: list[tuple[int, int]], logins: list[re.Match | None]) -> list[tuple[int, int]]:
+    """Secrets by form or by the name of their assignment; in a URL, a value ends with the login or at the next value."""
+    out, at, starts = [], 0, [a for a, _ in urls]
+    while m := _formed.search(text, at):
+        kind = m.lastgroup and ("v" if m["v"] is not None else "w")
+        a, b = m.span(kind or 0)
+        at = b
+        if kind == "w":
+            if _open.search(m["n"]) or not _is_random(m["w"]):
+                continue
+            b = at = _rest.match(text, b).end()
+        if kind:
+            k = bisect_left(starts, a) - 1
+            if k >= 0 and a < urls[k][1]:
+                cuts = [x for c in "&#" if (x := text.find(c, a, b)) >= 0]
+                if logins[k] and a < logins[k].end():
+                    cuts = [logins[k].end() - 1]
+                b = at = max(a, min([b, *cuts]))
+            if b - a < 8:
+                continue
+        out.append((a, b))
+    return out
+
+
+def _split(text: str, url: tuple[int, int], login: re.Match | None):
+    """Of a URL: (user, password, a token in place of both, random pieces, the endpoint without any of them); spans, or None."""
+    start, b = url
+    user = password = token = None
+    host = text.index("://", start) + 3
+    if login:
+        start = host = login.end()
+        if login["pair"]:
+            user, password = (login.span(x) if login[x] else None for x in ("user", "password"))
+        elif len(login["user"]) >= 20 and _is_random(login["user"]):
+            token = login.span("user")
+        elif login["user"]:
+            user = login.span("user")
+    tail = min((x for c in "?#" if (x := text.find(c, host, b)) >= 0), default=b)
+    path = text.find("/", host, tail)
+    end, pieces = tail, []
+    for p in _piece.finditer(text, path if path >= 0 else tail, b):
+        if (_word_piece if p.start() < tail else _plain).match(p[0]) and _is_random(p[0]):
+            pieces.append(p.span())
+            end = min(end, p.start())
+    return user, password, token, pieces, (start, end)
+
+
+def _united(spans) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s in sorted(spans):
+        out[-1:] = [(out[-1][0], max(out[-1][1], s[1]))] if out and s[0] < out[-1][1] else [*out[-1:], s]
+    return out
+
+
 def scan(text: str | None, window: int = 300) -> list[tuple[str, tuple[int, int], tuple[int, int] | None, tuple[int, int] | None]]:
-    """(strength, secret's span, identifier's or None, endpoint's or None), in order of the text; offsets count characters."""
+    """(strength, secret's span, identifier's or None, endpoint's or None), in order of the text; offsets count characters.
+
+    A URL is several parts: its user is an identifier, its password a strong secret, random pieces of its path and query are
+    weak ones, and its endpoint is what is before the first of them.
+    """
     if not text or not _some.search(text):
         return []
-    strong = [s for s in _spans(_named, text) if s[1] > s[0]]
-    endpoints = _spans(_endpoint, text)
-    access = _free(_spans(_access, text), sorted({*strong, *()}))
-    merged: list[tuple[int, int]] = []
-    for s in sorted([*strong, *access, *endpoints]):
-        merged[-1:] = [(merged[-1][0], max(merged[-1][1], s[1]))] if merged and s[0] < merged[-1][1] else [*merged[-1:], s]
-    weak = [s for s in _free(_spans(_random, text), merged) if _is_random(text[s[0] : s[1]])]
+    urls = _spans(_url, text)
+    blocks = _blocks(text)
+    logins = _logins(text, urls)
+    strong = sorted([*blocks, *_free(_assigned(text, urls, logins), blocks)])
+    split = [_split(text, u, m) for u, m in zip(urls, logins, strict=True)]
+    strong = sorted([*strong, *_free([x[1] for x in split if x[1]], strong)])
+    tokens = [x[2] for x in split if x[2]]
+    pieces = tokens + [p for x in split for p in x[3]]
+    places = [x[4] for x in split]
+    # An endpoint never shows a secret: it ends where one begins.
+    places = [(a, min([b, *(s for s, _ in strong[bisect_left(strong, (a, 0)) : bisect_left(strong, (b, 0))])])) for a, b in places]
+    endpoints = _free([p for p in places if p[1] > p[0]], strong)
+    endpoints = sorted([*endpoints, *_free(_spans(_endpoint, text), _united([*urls, *strong]))])
+    users = _free([x[0] for x in split if x[0]], strong)
+    access = sorted([*users, *_free(_spans(_access, text), _united([*strong, *users, *tokens]))])
+    access = [s for k, s in enumerate(access) if not k or access[k - 1][1] <= s[0]]
+    whole = _united([*strong, *access, *endpoints, *urls])
+    inside = _free(pieces, _united([*strong, *access]))
+    weak = sorted({*inside, *(s for s in _free(_spans(_random, text), whole) if _is_random(text[s[0] : s[1]]))})
     out = []
     a_at, e_at = [a for a, _ in access], [a for a, _ in endpoints]
     for strength, s in sorted([("strong", s) for s in strong] + [("weak", s) for s in weak], key=lambda x: x[1]):
