@@ -36,13 +36,13 @@ _end = re.compile(r"-----END (?:[A-Z]+ )*PRIVATE KEY-----")
 _body = re.compile(r"(?:\s+[A-Za-z0-9+/=]{16,}(?![^\s]))*")
 _formed = re.compile(
     r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{22,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|glpat-[\w-]{20,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,})"
-    r"|(?i:\b[\w-]{0,20}(?:token|secret|passw(?:or)?d|pwd|api_?key|private_?key|auth_?key|secret_?(?:access_?)?key)\b[\"']?\s*[=:]\s*[\"']?)(?P<v>[^\s\"'<>,;]{8,512})"
-    r"|(?i:\b(?P<n>[\w-]{0,20}[_-]key)\b[\"']?\s*[=:]\s*[\"']?)(?P<w>[^\s\"'<>,;=:&#]{16,512})"
+    r"|(?i:\b[\w-]{0,20}(?:token|secret|passw(?:or)?d|pwd|api_?key|private_?key|auth_?key|secret_?(?:access_?)?key)\b[\"']?\s*[=:]\s*[\"']?)(?P<v>[^\s\"'<>,;]{8,})"
+    r"|(?i:\b(?P<n>[\w-]{0,20}[_-]key)\b[\"']?\s*[=:]\s*[\"']?)(?P<w>[^\s\"'<>,;=:&#]{16,})"
 )
 #: Names in _key whose values are no secrets; those of the others must look random.
 _open = re.compile(r"(?i:access|public|primary|foreign|partition|sort)[_-]key\Z")
 _rest = re.compile(r"[^\s\"'<>,;]*")
-_random = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,512}={0,2}(?![A-Za-z0-9+/_-])")
+_random = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])")
 _url = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{3,}")
 _login = re.compile(r"://(?P<user>[^\s:/?#]*)(?P<pair>:(?P<password>[^\s/?#]*))?@")
 #: Parts of a path, and the values of a query or fragment.
@@ -100,7 +100,7 @@ def _blocks(text: str) -> list[tuple[int, int]]:
     out = []
     for m, later in zip(begins, [*(x.start() for x in begins), len(text)][1:], strict=True):
         k = bisect_left(ends, m.end())
-        out.append((m.start(), ends[k] if k < len(ends) and ends[k] <= min(later, m.end() + 8000) else _body.match(text, m.end()).end()))
+        out.append((m.start(), ends[k] if k < len(ends) and ends[k] <= later else _body.match(text, m.end()).end()))
     return out
 
 

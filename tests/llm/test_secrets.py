@@ -86,3 +86,17 @@ def test_environment_files_and_connection_strings():
     assert parts(f"user=anna https://x.example.com/a?sig={RANDOM}&n=1") == [("weak", RANDOM, "anna", "https://x.example.com/a")]
     assert parts("https://x.example.com/a?token=abcdefgh1&password=ijklmnop2&n=1") == [("strong", x, None, "https://x.example.com/a") for x in ("abcdefgh1", "ijklmnop2")]
     assert redact("DB=mysql://admin:pw@host:3306/db?ssl=1 end") == "DB=mysql://[SECRET]:[SECRET]@host:3306/db?ssl=1 end"
+
+
+def test_long_secrets_are_whole():
+    rng = random.Random(4)
+    run = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(12_000))
+    jwt = f"eyJ{run[:700]}.eyJ{run[700:6000]}.{run[6000:]}"
+    for text, secret in ((f"token={jwt} end", jwt), (f"user=anna {run} end", run), (f"user=anna\nX={run}", run), (f"password: {run}", run)):
+        assert [(x[1], x[0] != "") for x in parts(text)] == [(secret, True)] and run[-50:] not in redact(text)
+    lines = "\n".join(run[k : k + 64] for k in range(0, len(run), 64))
+    block = f"-----BEGIN PRIVATE KEY-----\n{lines}\n-----END PRIVATE KEY-----"
+    assert parts(f"a {block} b") == [("strong", block, None, None)]
+    cut = f"-----BEGIN PRIVATE KEY-----\n{lines}"
+    assert [x[1] for x in parts(f"{cut}\n\nThe end of it. {block}")] == [cut, block]
+    assert len(scan("-----BEGIN PRIVATE KEY----- " * 20_000)) == 20_000 and scan("a_key=" * 100_000) == []
