@@ -1,13 +1,16 @@
-"""A vantage-point tree over a bounded set of vectors, for finding where to start a search."""
+"""Vantage-point trees over all vectors, for finding where to start a search."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from .exact import rank_within
 
 
 class VpTree:
@@ -46,8 +49,8 @@ class VpTree:
                     todo += [(rest[within], node, self.inside), (rest[~within], node, self.outside)]
         return root
 
-    def seeds(self, query, most: int) -> list[int]:
-        """Up to ``most`` ids that a walk meets, the query's side first; nearest first."""
+    def met(self, query, most: int) -> list[tuple[float, int]]:
+        """(distance, id) of up to ``most`` records that a walk meets, the query's side first; nearest first."""
         q = np.asarray(query, dtype=np.float64)
         found, todo = [], [self.root]
         while todo and len(found) < most:
@@ -58,17 +61,57 @@ class VpTree:
             found.append((d, int(self.ids[node])))
             near, far = (self.inside[node], self.outside[node]) if d <= self.radius[node] else (self.outside[node], self.inside[node])
             todo += [int(far), int(near)]
-        return [i for _, i in sorted(found)]
+        return sorted(found)
+
+    def seeds(self, query, most: int) -> list[int]:
+        return [i for _, i in self.met(query, most)]
+
+
+class VpForest:
+    """Trees of about ``size`` records (id, v) each, by the hash of the id, over all records; built where they are searched."""
+
+    def __init__(self, records: DataFrame, trees: int, metric: str, seed: int, size: int):
+        self.records, self.trees, self.metric, self.seed, self.size = records, trees, metric, seed, size
+
+    def seeds(self, query, most: int) -> list[int]:
+        q = self.records.sparkSession.createDataFrame([(0, [float(x) for x in query])], "qid long, vector array<double>")
+        return [r["id"] for r in self.search(q, most).orderBy("rank").collect()]
+
+    def search(self, queries: DataFrame, most: int) -> DataFrame:
+        """(qid, rank, id): of what the walks through all trees meet, the nearest. A task holds a tree and ``size`` queries or so."""
+        metric, seed = self.metric, self.seed
+        q = queries.select(F.col("qid").cast("long").alias("qid"), V.as_vector(F.col("vector")).alias("qv"))
+        blocks = max(1, math.ceil(q.count() / self.size))
+
+        def run(left, right):
+            import pandas as pd
+
+            left = left.sort_values("id")
+            tree = VpTree(left["id"].to_numpy(), np.array(left["v"].tolist(), dtype=np.float64).reshape(len(left), -1), metric, seed)
+            rows = [(i, n, d) for i, v in zip(right["qid"], right["qv"], strict=True) for d, n in tree.met(v, most)]
+            return pd.DataFrame(rows, columns=["qid", "id", "dist"]).astype({"qid": "int64", "id": "int64", "dist": "float64"})
+
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        r = self.records.select("id", "v", F.expr(f"int(pmod(xxhash64(id), {self.trees}))").alias("tree"), every(blocks).alias("block"))
+        q = q.select("qid", "qv", every(self.trees).alias("tree"), F.expr(f"int(pmod(xxhash64(qid), {blocks}))").alias("block"))
+        met = r.groupBy("tree", "block").cogroup(q.groupBy("tree", "block")).applyInPandas(run, "qid long, id long, dist double")
+        return rank_within(met, most, "dist", "id").select("qid", F.col("rank").cast("int").alias("rank"), "id")
 
 
-def build(records: DataFrame, metric: str = "cosine", sample: int = 20_000, seed: int = 0, vector: str = "embedding", id: str = "id") -> VpTree:
-    """From at most ``sample`` records, those with the least hashes of the id; the driver holds them."""
-    rows = records.select(F.col(id).alias("id"), V.as_vector(F.col(vector)).alias("v")).orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+def build(records: DataFrame, metric: str = "cosine", size: int = 20_000, seed: int = 0, vector: str = "embedding", id: str = "id") -> VpTree | VpForest:
+    """One tree, which the driver holds, of up to ``size`` records; a forest of such trees of more."""
+    records = records.select(F.col(id).alias("id"), V.as_vector(F.col(vector)).alias("v"))
+    rows = records.limit(size + 1).count()
+    if rows > size:
+        return VpForest(records, math.ceil(records.count() / size), metric, seed, size)
+    rows = records.orderBy(F.xxhash64("id"), "id").collect()
     return VpTree(np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1), metric, seed)
 
 
-def search_seeds(tree: VpTree, queries: DataFrame, most: int) -> DataFrame:
+def search_seeds(tree: VpTree | VpForest, queries: DataFrame, most: int) -> DataFrame:
     """(qid, rank, id) for each query (qid, vector)."""
+    if isinstance(tree, VpForest):
+        return tree.search(queries, most)
     shared = queries.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches):

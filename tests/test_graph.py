@@ -98,3 +98,12 @@ def test_vantage_points(spark, cloud):
     q = cloud.select(F.col("id").alias("qid"), F.col("embedding").alias("vector"))
     got = vptree.search_seeds(vptree.build(cloud, "l2"), q, 40)
     assert got.count() == 300 * 40 and got.filter("rank = 1 and qid = id").count() > 60
+
+
+def test_a_forest_covers_all_records(cloud):
+    forest = vptree.build(cloud, "l2", size=50)
+    assert isinstance(forest, vptree.VpForest) and sorted(forest.seeds([0, 0, 0, 0], 400)) == list(range(300))
+    q = cloud.select(F.col("id").alias("qid"), F.col("embedding").alias("vector"))
+    got = vptree.search_seeds(forest, q, 5)
+    assert got.count() == 300 * 5 and got.select("id").distinct().count() > 50
+    assert got.filter("rank = 1 and qid = id").count() > 60
