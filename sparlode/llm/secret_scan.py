@@ -27,17 +27,23 @@ from .common import col, need, slices
 _some = re.compile(r"[=:@]|[A-Za-z0-9+/_-]{20}|-----BEGIN|xox[abprs]-|eyJ")
 _access = re.compile(
     r"\b(?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{16}\b"
-    r"|(?i:\b(?:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?|key_?id)\b[\"']?\s*[=:]\s*[\"']?)(?P<v>[\w.@+-]{3,128})"
-    r"|\b[A-Za-z0-9][\w.+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\b"
+    r"|(?i:\b(?:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?|key_?id)\b[\"']?\s*[=:]\s*[\"']?)(?P<v>[\w.@+-]{3,})"
 )
+#: What follows the at sign of a mail address; what precedes it is read backwards.
+_mail = re.compile(r"(?<=[\w.+-])@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\b")
+_local = re.compile(r"[\w.+-]*")
+#: A port behind a name; the name is read backwards.
+_port = re.compile(r"(?<=[A-Za-z]):\d{2,5}\b")
+_name = re.compile(r"[A-Za-z0-9.-]*")
+_host = re.compile(r"\b(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}\Z")
 _begin = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
 _end = re.compile(r"-----END (?:[A-Z]+ )*PRIVATE KEY-----")
 #: What follows the first line of a key block that has no end.
 _body = re.compile(r"(?:\s+[A-Za-z0-9+/=]{16,}(?![^\s]))*")
 _formed = re.compile(
     r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{22,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|glpat-[\w-]{20,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,})"
-    r"|(?i:\b[\w-]{0,20}(?:token|secret|passw(?:or)?d|pwd|api_?key|private_?key|auth_?key|secret_?(?:access_?)?key)\b[\"']?\s*[=:]\s*[\"']?)(?P<v>[^\s\"'<>,;]{8,})"
-    r"|(?i:\b(?P<n>[\w-]{0,20}[_-]key)\b[\"']?\s*[=:]\s*[\"']?)(?P<w>[^\s\"'<>,;=:&#]{16,})"
+    r"|(?i:(?:token|secret|passw(?:or)?d|pwd|api_?key|private_?key|auth_?key|secret_?(?:access_?)?key)\b[\"']?\s*[=:]\s*[\"']?)(?P<v>[^\s\"'<>,;]{8,})"
+    r"|(?i:(?P<n>[_-]key)\b[\"']?\s*[=:]\s*[\"']?)(?P<w>[^\s\"'<>,;=:&#]{16,})"
 )
 #: Names in _key whose values are no secrets; those of the others must look random.
 _open = re.compile(r"(?i:access|public|primary|foreign|partition|sort)[_-]key\Z")
@@ -50,9 +56,8 @@ _piece = re.compile(r"(?<=[/?#&=;])[^/?#&=;]{20,}={0,2}(?=[/?#&;]|\Z)")
 _word_piece = re.compile(r"[A-Za-z0-9_+]+={0,2}\Z")
 _plain = re.compile(r"[A-Za-z0-9+_.~%-]+={0,2}\Z")
 _endpoint = re.compile(
-    r"\b(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}:\d{2,5}\b"
-    r"|\b(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?\b"
-    r"|(?i:\b(?:host|endpoint|server)\b[\"']?\s*[=:]\s*[\"']?)(?P<v>[\w.-]{3,255})"
+    r"\b(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?\b"
+    r"|(?i:\b(?:host|endpoint|server)\b[\"']?\s*[=:]\s*[\"']?)(?P<v>[\w.-]{3,})"
 )
 
 
@@ -66,6 +71,45 @@ def _spans(pattern: re.Pattern, text: str) -> list[tuple[int, int]]:
     return [m.span("v") if named and m.group("v") is not None else m.span() for m in pattern.finditer(text)]
 
 
+def _before(text: str, run: re.Pattern, at: int, floor: int) -> int:
+    """Where the run of characters that ends at ``at`` begins, not before ``floor``; in steps that double, so that its cost is its length."""
+    step = 64
+    while True:
+        low = max(floor, at - step)
+        tail = run.match(text[low:at][::-1]).end()
+        if tail < at - low or low == floor:
+            return at - tail
+        step *= 2
+
+
+def _mails(text: str) -> list[tuple[int, int]]:
+    """Mail addresses, of any length."""
+    out, floor = [], 0
+    for m in _mail.finditer(text):
+        a = _before(text, _local, m.start(), floor)
+        while a < m.start() and not (text[a].isascii() and text[a].isalnum()):
+            a += 1
+        if a < m.start():
+            out.append((a, m.end()))
+        floor = m.end()
+    return out
+
+
+def _hosts(text: str) -> list[tuple[int, int]]:
+    """Names with a port, of any length."""
+    out, floor = [], 0
+    for m in _port.finditer(text):
+        a = _before(text, _name, m.start(), floor)
+        name = text[a : m.start()]
+        begin = name.rfind("..") + 1
+        while begin < len(name) and not name[begin].isalnum():
+            begin += 1
+        if _host.match(name, begin):
+            out.append((a + begin, m.end()))
+        floor = m.end()
+    return out
+
+
 def _is_random(s: str) -> bool:
     return any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and entropy(s) >= 3.0
 
@@ -117,7 +161,7 @@ def _assigned(text: str, urls: list[tuple[int, int]], logins: list[re.Match | No
         a, b = m.span(kind or 0)
         at = b
         if kind == "w":
-            if _open.search(m["n"]) or not _is_random(m["w"]):
+            if _open.search(text, max(0, m.start() - 9), m.start()) or not _is_random(m["w"]):
                 continue
             b = at = _rest.match(text, b).end()
         if kind:
@@ -183,9 +227,9 @@ def scan(text: str | None, window: int = 300) -> list[tuple[str, tuple[int, int]
     # An endpoint never shows a secret: it ends where one begins.
     places = [(a, min([b, *(s for s, _ in strong[bisect_left(strong, (a, 0)) : bisect_left(strong, (b, 0))])])) for a, b in places]
     endpoints = _free([p for p in places if p[1] > p[0]], strong)
-    endpoints = sorted([*endpoints, *_free(_spans(_endpoint, text), _united([*urls, *strong]))])
+    endpoints = sorted([*endpoints, *_free(_united([*_hosts(text), *_spans(_endpoint, text)]), _united([*urls, *strong]))])
     users = _free([x[0] for x in split if x[0]], strong)
-    access = sorted([*users, *_free(_spans(_access, text), _united([*strong, *users, *tokens]))])
+    access = sorted([*users, *_free(_united([*_mails(text), *_spans(_access, text)]), _united([*strong, *users, *tokens]))])
     access = [s for k, s in enumerate(access) if not k or access[k - 1][1] <= s[0]]
     whole = _united([*strong, *access, *endpoints, *urls])
     inside = _free(pieces, _united([*strong, *access]))

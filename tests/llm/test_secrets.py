@@ -1,5 +1,6 @@
 import random
 import string
+import time
 
 from sparlode.llm.queries import op9_secrets
 from sparlode.llm.secret_scan import nearest, redact, redact_secrets, scan, secret_scan
@@ -100,3 +101,54 @@ def test_long_secrets_are_whole():
     cut = f"-----BEGIN PRIVATE KEY-----\n{lines}"
     assert [x[1] for x in parts(f"{cut}\n\nThe end of it. {block}")] == [cut, block]
     assert len(scan("-----BEGIN PRIVATE KEY----- " * 20_000)) == 20_000 and scan("a_key=" * 100_000) == []
+
+
+def test_no_length_is_too_long():
+    rng = random.Random(9)
+    run = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(20_000))
+    key = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(run[k : k + 64] for k in range(0, 20_000, 64)) + "\n-----END PRIVATE KEY-----"
+    user, host = "u" * 5_000, ".".join(["abcdefgh"] * 600) + ".example.com"
+    for text, gone in ((f"a {key} b", key), (f"token={run[:5000]} b", run[:5000]), (f"user: anna {run[:3000]} b", run[:3000]), (f"user: {user} {run[:30]} b", user), (f"mail {user}@example.com {run[:30]} b", user)):
+        assert gone[:20] not in redact(text) and gone[-20:] not in redact(text) and redact(text).endswith(" b")
+    assert parts(f"token=abcdefgh1 {host}:5432") == [("strong", "abcdefgh1", None, f"{host}:5432")]
+    assert parts(f"token=abcdefgh1 host: {host}") == [("strong", "abcdefgh1", None, host)]
+    assert parts(f"the_name_of_a_very_long_variable_of_the_application_token = {run[:40]}") == [("strong", run[:40], None, None)]
+
+
+def test_time_is_linear():
+    for text in ("a-" * 500_000, "a." * 500_000 + ":80", "1." * 500_000, "a@" * 500_000, "_key" * 250_000, "ab://" * 200_000, "token " * 170_000):
+        began = time.perf_counter()
+        scan(text)
+        assert time.perf_counter() - began < 10
+
+
+def test_planted_parts_by_construction():
+    """Texts are put together from parts whose kind and place are known; the links are then found by looking at all pairs."""
+    rng = random.Random(21)
+    letters = string.ascii_letters + string.digits
+
+    def rand(n):
+        return "".join(rng.choice(letters) for _ in range(n - 4)) + "a1B2"
+
+    kinds = {
+        "access": [lambda: ("user: ", "anna" + rand(6), ""), lambda: ("", "AKIA" + "".join(rng.choice(string.ascii_uppercase) for _ in range(16)), ""), lambda: ("<", f"bob{rng.randrange(99)}@mail.example.org", ">")],
+        "strong": [lambda: ("password=", rand(12), ""), lambda: ("", "ghp_" + rand(36), ""), lambda: ("MY_KEY = '", rand(24), "'")],
+        "weak": [lambda: ("", rand(28), ""), lambda: ("(", rand(40), ")")],
+        "endpoint": [lambda: ("", "https://api.example.com/v1", ""), lambda: ("", "db.example.com:5432", ""), lambda: ("", "10.1.2.3:80", "")],
+    }
+    for _ in range(300):
+        text, spans = "", {k: [] for k in kinds}
+        for _ in range(rng.randrange(1, 9)):
+            text += " " + prose(rng.randrange(1 << 30), rng.choice((1, 5, 60))) + " "
+            kind = rng.choice(list(kinds))
+            a, b, c = rng.choice(kinds[kind])()
+            spans[kind].append((len(text) + len(a), len(text) + len(a) + len(b)))
+            text += a + b + c
+
+        def close(s, others):
+            gaps = [(max(o[0] - s[1], s[0] - o[1]), o) for o in others]
+            return min((g for g in gaps if g[0] <= 300), default=(0, None))[1]
+
+        want = [("strong", s, close(s, spans["access"]), close(s, spans["endpoint"])) for s in spans["strong"]]
+        want += [("weak", s, a, close(s, spans["endpoint"])) for s in spans["weak"] if (a := close(s, spans["access"]))]
+        assert scan(text) == sorted(want, key=lambda x: x[1])
