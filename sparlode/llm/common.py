@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
 
@@ -66,6 +67,14 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def whole_id(df: DataFrame, name: str):
+    """The id as a long; ids of a kind that has no order of whole numbers are refused before anything runs."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise ValueError(f"ids in {name} must be whole numbers, not {kind.simpleString()}; number the rows first")
+    return col(name).cast("long")
+
+
 def worker_state(kind: str) -> dict:
     """A dictionary that lives as long as the Python worker, over its tasks, until another kind of operator runs in it."""
     name = "_sparlode_worker_state"
