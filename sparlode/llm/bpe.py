@@ -180,17 +180,15 @@ def bpe_encode(
 
     With ``check``, a boolean column of that name says whether decoding the ids gives the text back. Null text: null ids
     (and null check). Empty text: no ids. Very long texts are encoded whole, in linear time. Repeated rows are each encoded;
-    there are no ties, as every prefix has one last token. Empty table: empty result. A column that already has the name
-    ``ids`` or ``check`` (in any case) is an error; other extra columns pass through.
+    there are no ties, as every prefix has one last token. Empty table: empty result. Extra columns pass through; if one has the
+    name ``ids`` or ``check`` (in any case), the new column's name gets underscores at its end.
     """
     need(docs, text)
     names = docs.columns if keep is None else list(keep)
-    added = [ids] + ([check] if check else [])
-    for a in added:
-        if fresh(docs.select(*map(col, names)), a) != a:
-            raise ValueError(f"there is a column {a} already")
+    kept = docs.select(*map(col, names))
+    added = [fresh(kept, a) for a in [ids] + ([check] if check else [])]
     get = _encoder(spark, vocabulary, pattern)
-    schema = T.StructType([*(docs.schema[n] for n in names), T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(check, T.BooleanType())] if check else []))
+    schema = T.StructType([*(docs.schema[n] for n in names), T.StructField(added[0], T.ArrayType(T.IntegerType()))] + ([T.StructField(added[1], T.BooleanType())] if check else []))
     source = fresh(docs, "_bpe_text")
 
     def run(batches):
@@ -209,7 +207,8 @@ def bpe_encode(
 def bpe_decode(spark: SparkSession, encoded: DataFrame, *, ids: str = "ids", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """All other columns and the decoded text in a column ``text``, which replaces one of that name.
 
-    Null ids: null text. Bytes that are no UTF-8 become replacement characters. An id beyond the vocabulary is an error.
+    Null ids: null text; no ids: empty text. Bytes that are no UTF-8 become replacement characters. An id beyond the vocabulary
+    is an error. Long lists are decoded whole, repeated rows each; there are no ties. Empty table: empty result. Extra columns pass through.
     """
     need(encoded, ids)
     names = [n for n in encoded.columns if n not in (ids, text)]

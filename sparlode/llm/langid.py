@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import col, need, save, slices, worker_state
+from .common import col, drop_path, need, save, slices, worker_state
 
 _word = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -99,7 +99,7 @@ def fit(rows, least_words: int = 2, least_grams: int = 3) -> Model:
             for w, c in by[x].items():
                 p = f"^{w}$"
                 for i in range(len(p) - n + 1):
-                    sums.setdefault(p[i : i + n], [0] * len(langs))[k] += min(c, 20)
+                    sums.setdefault(p[i : i + n], [0] * len(langs))[k] += c
         grams.append({g: tuple(v) for g, v in sums.items() if sum(v) >= least_grams})
     return Model(langs, words, grams)
 
@@ -116,13 +116,16 @@ def train(spark: SparkSession, docs: DataFrame, *, text: str = "text", lang: str
     t = col(text).cast("string")
     keys = docs.select(col(lang).cast("string").alias("lang"), F.xxhash64(t).alias("row_hash")).filter("lang IS NOT NULL").filter(t.isNotNull()).distinct()
     chosen = keys.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("row_hash"))).filter(F.col("n") <= sample).drop("n")
-    chosen, _ = save(spark, chosen, "langid-sample")
+    chosen, chosen_path = save(spark, chosen, "langid-sample")
     if chosen.select("lang").distinct().count() > most_langs:
         raise ValueError(f"more than {most_langs} languages")
     texts = docs.select(col(lang).cast("string").alias("lang"), t.alias("text")).withColumn("row_hash", F.xxhash64("text"))
     texts = texts.join(F.broadcast(chosen), ["lang", "row_hash"], "left_semi").groupBy("lang", "row_hash").agg(F.first("text").alias("text")).select("lang", "text")
-    rows, _ = save(spark, texts.mapInArrow(_count_batches, "lang string, words array<string>, counts array<int>"), "langid-counts")
-    return fit((r[0], dict(zip(r[1], r[2], strict=True))) for r in rows.toLocalIterator())
+    rows, rows_path = save(spark, texts.mapInArrow(_count_batches, "lang string, words array<string>, counts array<int>"), "langid-counts")
+    model = fit((r[0], dict(zip(r[1], r[2], strict=True))) for r in rows.toLocalIterator())
+    for p in (chosen_path, rows_path):
+        drop_path(spark, p)
+    return model
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None, *, id: str = "doc_id", text: str = "text", lang: str = "lang", **how) -> DataFrame:
@@ -130,7 +133,8 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None, *
 
     Null or empty text, or one without a letter: "und" with confidence 0. Very long texts count whole. Ties: the first
     language by name. Repeated rows: each is judged, alike; they train once. Null labels don't train; a table without any
-    label gives "und" throughout. Empty table: no rows. Extra columns don't matter.
+    label gives "und" throughout. Over ``most_langs`` (300) different labels are an error, as the driver holds the model. Ids may be of
+    any kind. Empty table: no rows. Extra columns don't matter.
     """
     need(docs, id, text)
     model = model or train(spark, docs, text=text, lang=lang, **how)
@@ -148,4 +152,4 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None, *
             found = [m.detect(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], type=pa.string()), pa.array([x[1] for x in found], type=pa.float64())], names=["doc_id", "detected", "confidence"])
 
-    return docs.select(col(id).cast("long").alias("id"), col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, detected string, confidence double")
+    return docs.select(col(id).alias("id"), col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema[id].dataType.simpleString()}, detected string, confidence double")

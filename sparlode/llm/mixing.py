@@ -3,33 +3,46 @@
 Target weights and the tokens of each source give every document of a source one inclusion probability. The flight phase
 moves the vector of fractional inclusion indicators through the null space of the balancing constraints (documents and
 tokens of the source), so that both totals stay at their targets while one indicator after another becomes 0 or 1
-(fast flight: Chauvet and Tille 2006). It runs inside each task over the rows as they stream by, never holding more than
-three undecided documents of a source; the few that are left at the ends of the tasks go through a second flight for
-each source, and the one or two that are then left are the landing problem: the token constraint is dropped there.
-
-Texts are read twice and written once. Nothing but (source, documents, tokens) sums and the undecided few is shuffled.
+(fast flight: Chauvet and Tille 2006). It runs over narrow rows (hash of the document, source, tokens), in buckets by the hash
+and in its order, so the sample is a function of the documents and the seed alone, however they lie in files. A task holds one
+bucket of about 100,000 rows and never more than three undecided documents of a source; the few that are left go through a second
+flight for each source, and the one or two that are then left are the landing problem: the token constraint is dropped there.
+
+Equal rows are one unit with so many copies: all of them but a fraction are decided at once. Texts are read twice and written
+once, by built-in expressions only; they aren't shuffled as long as the documents that go, or those that stay, are few enough for a
+broadcast of their hashes.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
-import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import col, fresh, need, save, slices
+from .common import col, drop_path, fresh, need, save
 
 #: Of the tokens, at least this share stays in production, however unequal the sources are.
 LEAST_KEPT = 0.8
 
 
+_SPACE = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_IDEOGRAPHS = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+#: A token: what is between white space, but each ideograph or kana for itself. Java and Python read it alike.
+TOKEN = f"[{_IDEOGRAPHS}]|[^{_SPACE}{_IDEOGRAPHS}]+"
+_token = re.compile(TOKEN)
+
+
 def tokens_of(text: str | None) -> int:
-    """Words between white space."""
-    return 0 if text is None else len(text.split())
+    return 0 if text is None else len(_token.findall(text))
+
+
+def token_count(text: Column) -> Column:
+    """The same as a column."""
+    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
 
 
 def _random(seed: int, *parts) -> float:
@@ -135,105 +148,114 @@ def inclusion(
     return {s: (1.0 if scale * weight[s] >= t else weight[s] * scale / t) if t else float(weight[s] > 0) for s, (_, t) in totals.items()}
 
 
-def _sum_batches(batches):
-    for b in slices(batches, "text"):
-        sums: dict = {}
-        for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x = sums.setdefault(s, [0, 0])
-            x[0] += 1
-            x[1] += tokens_of(t)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), type=pa.string()), pa.array([x[0] for x in sums.values()]), pa.array([x[1] for x in sums.values()])], names=["source", "n", "tokens"])
-
-
 def source_totals(docs: DataFrame, *, text: str = "text", source: str = "source") -> DataFrame:
     """(source, documents, tokens) over the whole table."""
-    narrow = docs.select(col(source).cast("string").alias("source"), col(text).cast("string").alias("text"))
-    return narrow.mapInArrow(_sum_batches, "source string, n long, tokens long").groupBy("source").agg(F.sum("n").alias("documents"), F.sum("tokens").alias("tokens"))
+    narrow = docs.select(col(source).cast("string").alias("source"), token_count(col(text).cast("string")).alias("tokens"))
+    return narrow.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"))
+
+
+def _hashes(docs: DataFrame) -> tuple[Column, Column]:
+    """Two hashes over all columns; rows that agree in both (128 bits) count as equal."""
+    parts = [F.to_json(F.struct(col(f.name))) if "map<" in f.dataType.simpleString() else col(f.name) for f in docs.schema]
+    return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
 
 
 def mix(
     spark: SparkSession, docs: DataFrame, *, targets: dict | None = None, temperature: float = 0.7, seed: int = 11,
     text: str = "text", source: str = "source", columns: list[str] | None = None, count: str | None = None,
     most_sources: int = 1_000_000, tokens: float | None = None, share: float | None = None, least: float = 0.0, short: float = 0.01,
+    bucket: int = 100_000, broadcast_rows: int = 2_000_000,
 ) -> DataFrame:
     """The sampled documents: all columns, or ``columns``; with ``count``, their tokens in a column of that name.
 
     ``tokens``, ``share``, ``least`` and ``short`` set the size of the sample, see ``inclusion``.
 
     In each source the number of documents is within 1 of its target, and the tokens are within about one long document
-    of theirs. The sample is a function of the rows, their order in the files and the seed; it is written to the shared
-    folder before it is used, so a lost executor can't mix two samples.
+    of theirs. The sample is a function of the rows and the seed, not of their order or files. The hashes of the documents that go
+    (or stay) are broadcast up to ``broadcast_rows`` of them (32 MB at the default), beyond that joined by a shuffle.
 
     Null source: a source of its own, named None in ``targets``. Null or empty text: no tokens, but a document that counts.
     Very long texts count whole. Ties in tokens are moved along documents alone. Repeated rows are documents of their own.
-    Empty table: empty result. Extra columns pass through whatever their names; one that
-    has the name ``count`` is an error. Over ``most_sources`` sources are refused:
-    their totals are held by the driver.
+    Empty table: empty result. Extra columns pass through whatever their names; if one has the name ``count``, underscores are
+    added to that. Over ``most_sources`` sources are refused: their totals are held by the driver.
     """
     need(docs, text, source)
-    totals = {r[0]: (r[1], r[2]) for r in source_totals(docs, text=text, source=source).take(most_sources + 1)}
+    names = docs.columns if columns is None else list(columns)
+    k1, k2 = fresh(docs, "_mix_1"), fresh(docs, "_mix_2")
+    one, two = _hashes(docs)
+    narrow = docs.select(one.alias("k1"), two.alias("k2"), col(source).cast("string").alias("source"), token_count(col(text).cast("string")).alias("tokens"))
+    units, units_path = save(spark, narrow.groupBy("k1", "k2").agg(F.first("source").alias("source"), F.first("tokens").alias("tokens"), F.count("*").alias("copies")), "mix-units")
+    sums = units.groupBy("source").agg(F.sum("copies").alias("documents"), F.sum(F.col("copies") * F.col("tokens")).alias("tokens"))
+    totals = {r[0]: (r[1], r[2]) for r in sums.take(most_sources + 1)}
     if len(totals) > most_sources:
         raise ValueError(f"more than {most_sources} sources")
     shares = spark.sparkContext.broadcast(inclusion(totals, targets, temperature, tokens=tokens, share=share, least=least, short=short))
-    names = docs.columns if columns is None else list(columns)
-    fields = [docs.schema[n] for n in names]
-    if count:
-        fields.append(T.StructField(count, T.LongType()))
-    # What the flight adds: the source, tokens, the fraction left (1: chosen), and a number of the row in its task.
-    extra = [fresh(docs, f"_mix_{x}") for x in ("source", "tokens", "left", "row", "task")]
-    w_task, w_row = fresh(docs, "_won_task"), fresh(docs, "_won_row")
-    if count and fresh(docs.select(*map(col, names)), count) != count:
-        raise ValueError(f"there is a column {count} already")
-    schema = T.StructType([*fields, T.StructField(extra[0], T.StringType()), T.StructField(extra[1], T.LongType()), T.StructField(extra[2], T.DoubleType()), T.StructField(extra[3], T.LongType())])
-
-    def run(batches):
+    buckets = max(1, math.ceil(sum(d for d, _ in totals.values()) / bucket))
+    fly = units.withColumn("bucket", F.pmod("k1", F.lit(buckets))).groupBy("bucket").applyInPandas(_first(seed, shares), "k1 long, k2 long, source string, tokens long, copies long, taken long, left double")
+    flown, flown_path = save(spark, fly, "mix-flown")
+    won, won_path = save(spark, flown.filter("left > 0").groupBy("source").applyInPandas(_second(seed), "k1 long, k2 long"), "mix-landed")
+    decided = flown.join(won.withColumn("won", F.lit(1)), ["k1", "k2"], "left")
+    decided = decided.select("k1", "k2", "copies", (F.col("taken") + F.coalesce("won", F.lit(0))).alias("taken"))
+    decided, decided_path = save(spark, decided, "mix-decided")
+    for p in (units_path, flown_path, won_path):
+        drop_path(spark, p)
+    goes, stays, partly = decided.agg(*(F.count_if(F.expr(c)) for c in ("taken < copies", "taken > 0", "taken > 0 AND taken < copies"))).first() if totals else (0, 0, 0)
+
+    def some(which: str, n: int) -> DataFrame:
+        rows = decided.filter(which).select(F.col("k1").alias(k1), F.col("k2").alias(k2))
+        return F.broadcast(rows) if n <= broadcast_rows else rows
+
+    hashed = docs.withColumns({k1: one, k2: two})
+    if stays - partly < goes:
+        whole = hashed.join(some("taken > 0 AND taken = copies", stays - partly), [k1, k2], "left_semi")
+    else:
+        whole = hashed.join(some("taken < copies", goes), [k1, k2], "left_anti")
+    out = whole.select(*map(col, docs.columns))
+    if partly:  # of equal rows some stay: one of them is written so many times
+        row, n, at = fresh(docs, "_mix_row"), fresh(docs, "_mix_n"), fresh(docs, "_mix_at")
+        first = hashed.join(some("taken > 0 AND taken < copies", partly), [k1, k2], "left_semi").groupBy(k1, k2).agg(F.first(F.struct(*map(col, docs.columns))).alias(row))
+        take = decided.filter("taken > 0 AND taken < copies").select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("taken").alias(n))
+        first = first.join(take, [k1, k2]).withColumn(at, F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / 1000).cast("int")))).repartition(k1, k2, at)
+        first = first.withColumn(at, F.explode(F.sequence(F.lit(1), F.least(F.lit(1000), F.col(n) - 1000 * F.col(at)).cast("int"))))
+        out = out.unionByName(first.select(F.col(f"{row}.*")))
+    chosen = out.select(*map(col, names))
+    return chosen if not count else out.select(*map(col, names), token_count(col(text).cast("string")).alias(fresh(chosen, count)))
+
+
+def _first(seed: int, shares):
+    """The flight over one bucket, in the order of the hashes. left: the fraction of one copy that isn't decided."""
+
+    def first(pdf):
+        pdf = pdf.sort_values(["k1", "k2"])
         held: dict = {}
-        row = 0
-
-        def out(rows):
-            table = pa.Table.from_batches([x[4].slice(x[5], 1) for x in rows]).combine_chunks()
-            b = table.to_batches()[0]
-            more = [pa.array([x[1] for x in rows], type=pa.int64())] if count else []
-            more += [pa.array([x[3] for x in rows], type=pa.string()), pa.array([x[1] for x in rows], type=pa.int64()), pa.array([x[0] for x in rows], type=pa.float64()), pa.array([x[2] for x in rows], type=pa.int64())]
-            return pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), *more], names=[*names, *([count] if count else []), *extra[:4]])
-
-        for b in slices(batches, text):
-            decided: list = []
-            for k, (s, t) in enumerate(zip(b.column(b.schema.get_field_index(source)).to_pylist(), b.column(b.schema.get_field_index(text)).to_pylist(), strict=True)):
-                s = None if s is None else str(s)
-                unit = [shares.value.get(s, 0.0), tokens_of(t), row, s, b, k]
-                row += 1
-                flight(held.setdefault(s, []), unit, seed, decided)
-            chosen = [x for x in decided if x[0] == 1.0]
-            for n in range(0, len(chosen), 2000):
-                yield out(chosen[n : n + 2000])
-            for units in held.values():  # only those rows stay in memory, not their batch
-                for x in units:
-                    if x[4] is b:
-                        x[4], x[5] = pa.RecordBatch.from_pylist(b.slice(x[5], 1).to_pylist(), schema=b.schema), 0
-        rest = [x for units in held.values() for x in units]
-        if rest:
-            yield out(rest)
-
-    flown, path = save(spark, docs.mapInArrow(run, schema).withColumn(extra[4], F.spark_partition_id()), "mix-flown")
-    s, tok, left, row, task = (F.col(x) for x in extra)
-    rest = flown.filter(left < 1).select(s.alias("source"), tok.alias("tokens"), left.alias("left"), task.cast("long").alias("task"), row.alias("row"))
-    won, _ = save(spark, rest.groupBy("source").applyInPandas(_second(seed, w_task, w_row), f"`{w_task}` long, `{w_row}` long"), "mix-landed")
-    won = won if won.count() > 1_000_000 else F.broadcast(won)
-    undecided = flown.filter(left < 1).join(won, (task == F.col(w_task)) & (row == F.col(w_row)), "left_semi")
-    return flown.filter(left == 1).unionByName(undecided).drop(*extra)
-
-
-def _second(seed: int, task: str, row: str):
+        decided: list = []
+        taken = np.zeros(len(pdf), dtype=np.int64)
+        known = shares.value
+        for k, (a, b, s, t, m) in enumerate(zip(pdf["k1"].tolist(), pdf["k2"].tolist(), pdf["source"].tolist(), pdf["tokens"].tolist(), pdf["copies"].tolist(), strict=True)):
+            s = s if isinstance(s, str) else None
+            exact = known.get(s, 0.0) * m
+            taken[k] = int(exact + 1e-9)
+            flight(held.setdefault(s, []), [min(max(exact - float(taken[k]), 0.0), 1.0) if exact - taken[k] > 1e-9 else 0.0, t, (a, b), k], seed, decided)
+        for x in decided:
+            taken[x[3]] += x[0] == 1.0
+        left = np.zeros(len(pdf))
+        for units in held.values():
+            for x in units:
+                left[x[3]] = x[0]
+        return pdf[["k1", "k2", "source", "tokens", "copies"]].assign(taken=taken, left=left)
+
+    return first
+
+
+def _second(seed: int):
     def second(pdf):
-        pdf = pdf.sort_values(["task", "row"])
-        held, decided = [], []
-        for x in zip(pdf["left"], pdf["tokens"], pdf["task"], pdf["row"], strict=True):
-            flight(held, [float(x[0]), int(x[1]), (int(x[2]), int(x[3]))], seed, decided)
-        decided += land(held, seed)
-        won = [x[2] for x in decided if x[0] == 1.0]
         import pandas as pd
 
-        return pd.DataFrame({task: np.array([t for t, _ in won], dtype=np.int64), row: np.array([r for _, r in won], dtype=np.int64)})
+        pdf = pdf.sort_values(["k1", "k2"])
+        held, decided = [], []
+        for left, t, a, b in zip(pdf["left"].tolist(), pdf["tokens"].tolist(), pdf["k1"].tolist(), pdf["k2"].tolist(), strict=True):
+            flight(held, [left, t, (a, b)], seed, decided)
+        decided += land(held, seed)
+        return pd.DataFrame([x[2] for x in decided if x[0] == 1.0], columns=["k1", "k2"]).astype("int64")
 
     return second

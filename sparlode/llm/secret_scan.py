@@ -262,23 +262,24 @@ def secret_scan(docs: DataFrame, *, id: str = "doc_id", text: str = "text", wind
 
     The secret itself never leaves, only its digest. Null or empty text: no findings. Very long texts are scanned whole.
     Ties between two identifiers or endpoints at one distance: the left one. Repeated rows: findings for each. A null id is
-    reported as null. Empty table: no rows. Extra columns don't matter.
+    reported as null, an id of another kind as it is. Empty table: no rows. Extra columns don't matter.
     """
     need(docs, id, text)
 
     def run(batches):
         for b in slices(batches, "text"):
             rows = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, t in enumerate(b.column(1).to_pylist()):
                 for strength, s, a, e in scan(t, window):
                     digest = hashlib.sha256(t[s[0] : s[1]].encode("utf-8", "surrogatepass")).hexdigest()
                     rows.append((i, strength, s[0], s[1], digest, a and a[0], t[a[0] : a[1]] if a else None, e and e[0], t[e[0] : e[1]] if e else None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=ty) for k, ty in enumerate(types)], names=names)
+            ids = b.column(0).take(pa.array([r[0] for r in rows], type=pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[k + 1] for r in rows], type=ty) for k, ty in enumerate(types))], names=names)
 
     names = ["doc_id", "strength", "start", "end", "secret_sha256", "access_start", "access_id", "endpoint_start", "endpoint"]
-    types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string()]
-    narrow = docs.select(col(id).cast("long").alias("id"), col(text).cast("string").alias("text")).filter("text IS NOT NULL")
-    return narrow.mapInArrow(run, "doc_id long, strength string, start int, end int, secret_sha256 string, access_start int, access_id string, endpoint_start int, endpoint string")
+    types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+    narrow = docs.select(col(id).alias("id"), col(text).cast("string").alias("text")).filter("text IS NOT NULL")
+    return narrow.mapInArrow(run, f"doc_id {docs.schema[id].dataType.simpleString()}, strength string, start int, end int, secret_sha256 string, access_start int, access_id string, endpoint_start int, endpoint string")
 
 
 def redact_secrets(docs: DataFrame, *, text: str = "text", length: str | None = "n_chars", window: int = 300) -> DataFrame:

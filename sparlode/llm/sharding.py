@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, drop_path, fresh, need, save
+from .common import col, drop_path, fresh, need, save, whole_id
 
 ROUNDS = 6
 _M1, _M2, _M3 = 73_244_475, 19_349_663, 83_492_791
@@ -91,17 +91,22 @@ def shard_rows(
     """(doc_id, row_number, position, shard, slot) for each row, and the columns of ``carry``.
 
     Null ids come first. Repeated ids, also whole repeated rows: a number and place of their own for each. There are no texts
-    in it unless carried, whole. Empty table: no rows. Columns of ``carry`` that clash with the result's are an error; other
-    columns don't matter. Shards differ in size by at most one row.
+    in it unless carried, whole. Empty table: no rows. Columns of ``carry`` that clash with the result's get underscores at their
+    end; other columns don't matter. Ids must be whole numbers. Shards differ in size by at most one row.
     """
     need(docs, id)
     added = ["doc_id", "row_number", "position", "shard", "slot"]
-    carry = list(carry or [])
-    if {c.lower() for c in carry} & set(added):
-        raise ValueError(f"columns named like {added} can't be carried")
     if shards < 1:
         raise ValueError("shards must be at least 1")
-    rows = docs.select(col(id).cast("long").alias("doc_id"), *map(col, carry))
+    taken, carried = set(added), []
+    for c in carry or []:
+        name = c
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        carried.append((c, name))
+    rows = docs.select(whole_id(docs, id).alias("doc_id"), *(col(c).alias(name) for c, name in carried))
+    carry = [name for _, name in carried]
     numbered, n, _ = number_rows(spark, rows, ["doc_id"], "row_number")
 
     @F.pandas_udf(T.LongType())

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, drop_path, need, save, slices
+from .common import col, drop_path, need, save, slices, whole_id
 
 _word = re.compile(r"\w+")
 #: Forms that are ordinary words in another of the languages are left out.
@@ -39,6 +39,7 @@ _OF = {w: i for i, k in enumerate(LEXICONS) for w in LEXICONS[k].split()}
 _AMBIGUOUS = {"nobody", "waste", "failure", "pigs", "joke", "fraud", "fool", "fools", "raté", "tonto", "basura", "hopeless", "inferior"}
 _threat = re.compile(r"(?i)\b(?:i(?:'ll| will)? (?:kill|hurt|destroy|beat) you|kill yourself|go die|hope you die|you (?:deserve to|should|will|must) die|shut up)\b")
 _masked = re.compile(r"(?i)\b(?:[1!]d[i1!]ot|m[0*o]r[0*o]n|st[*u]p[*1!i]d|f[*u][*c]k\w*|sh[*1!]t\w*|b[*1!]tch\w*|a[s$]{2}h[*0]le|l[0*]ser|tr[*@]sh|sc[*]m)\b")
+_signs = frozenset("*10@$!")
 _you = {"you", "your", "youre", "u", "du", "dich", "ihr", "tu", "vous", "toi", "tú", "usted", "eres"}
 NAMES = [*LEXICONS, "addressed", "several", "dense", "shouted", "threat", "masked", "learnt words", "learnt beginnings"]
 NOTHING: frozenset = frozenset()
@@ -81,7 +82,7 @@ def votes(text: str | None, learnt: frozenset = NOTHING, begins: frozenset = NOT
             mask |= 1 << (base + 3)
     if ("you" in distinct or "yourself" in distinct or "die" in distinct or "shut" in distinct) and _threat.search(low):
         mask |= 1 << (base + 4)
-    if ("*" in text or "1" in text or "0" in text or "@" in text or "$" in text) and any(any(not c.isalpha() for c in m) and any(c.isalpha() for c in m) for m in _masked.findall(low)):
+    if not _signs.isdisjoint(text) and any(any(not c.isalpha() for c in m) and any(c.isalpha() for c in m) for m in _masked.findall(low)):
         mask |= 1 << (base + 5)
     return mask
 
@@ -225,9 +226,9 @@ def learn_lexicons(
     From at most ``labelled`` labelled ids, those with the least hashes; an id with several labels is toxic if one says so. Equal
     texts count once. At most ``most`` entries, those of the most toxic texts.
     """
-    y = labels.select(col(id).cast("long").alias("id"), col(toxic).cast("int").alias("toxic")).filter("id IS NOT NULL AND toxic IN (0, 1)")
+    y = labels.select(whole_id(labels, id).alias("id"), col(toxic).cast("int").alias("toxic")).filter("id IS NOT NULL AND toxic IN (0, 1)")
     chosen, path = save(spark, y.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(labelled), "toxicity-labelled")
-    texts = docs.select(col(id).cast("long").alias("id"), col(text).cast("string").alias("text")).filter("text IS NOT NULL AND id IS NOT NULL")
+    texts = docs.select(whole_id(docs, id).alias("id"), col(text).cast("string").alias("text")).filter("text IS NOT NULL AND id IS NOT NULL")
     once = texts.join(F.broadcast(chosen), "id").groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("toxic", "text")
     counts = once.mapInArrow(_learn_batches, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     good = counts.filter((F.col("toxic") >= support) & (F.col("toxic") >= precision * (F.col("toxic") + F.col("clean"))))
@@ -241,7 +242,7 @@ def train(
     lexicons: tuple[frozenset, frozenset] = (NOTHING, NOTHING),
 ) -> tuple[dict[str, float], float, LabelModel]:
     """(word weights, bias, label model). The votes of all documents make the label model; the classifier is fitted on at most
-    ``sample`` distinct texts with votes and as many without, those with the least hashes, and on words that ``least`` of them have (fewer in a sample of under 80)."""
+    ``sample`` distinct texts with votes and as many without, those with the least hashes, and on words that ``least`` of them have."""
     hashed = docs.select(F.xxhash64(col(text).cast("string")).alias("row_hash"), col(text).cast("string").alias("text")).filter("text IS NOT NULL")
     voted, path = save(spark, hashed.mapInArrow(_mask_batches(*lexicons), "row_hash long, mask int"), "toxicity-votes")
     counts = voted.groupBy("mask").count().collect()  # at most 2**VOTERS rows
@@ -250,15 +251,16 @@ def train(
     chosen = {r[0]: r[1] for p in parts for r in p.collect()}  # at most 2 * sample rows
     wanted = spark.createDataFrame([(h,) for h in chosen], "row_hash long")
     texts = hashed.join(F.broadcast(wanted), "row_hash", "left_semi").groupBy("row_hash").agg(F.first("text").alias("text"))
-    rows, _ = save(spark, texts.mapInArrow(_word_batches(lexicons[1]), "row_hash long, words array<string>"), "toxicity-sample")
-    vocabulary = [r[0] for r in rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= min(least, 1 + len(chosen) // 20)).select("word").orderBy("word").collect()]
+    rows, rows_path = save(spark, texts.mapInArrow(_word_batches(lexicons[1]), "row_hash long, words array<string>"), "toxicity-sample")
+    vocabulary = [r[0] for r in rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("word").orderBy("word").collect()]
     number = {w: k for k, w in enumerate(vocabulary)}
     ids, y, patterns = [], [], []
     for r in rows.orderBy("row_hash").toLocalIterator():
         ids.append([number[w] for w in r[1] if w in number])
         patterns.append(chosen[r[0]])
         y.append(model.posteriors[chosen[r[0]]])
-    drop_path(spark, path)
+    for p in (path, rows_path):
+        drop_path(spark, p)
     if not ids:
         return {}, -10.0, model
     # A pattern of votes weighs as the square root of its documents, so that rare ones are learnt too.
@@ -276,8 +278,8 @@ def toxic_documents(
     has its parameters).
 
     Null or empty text: never toxic. Very long texts are read whole; how often a word occurs doesn't matter. Ties at the
-    threshold are not toxic. Repeated rows: each is judged, alike; a null id is reported as null. Empty table: no rows. Extra
-    columns don't matter.
+    threshold are not toxic. Repeated rows: each is judged, alike; a null id is reported as null, and one of any kind as it is (labels
+    need whole numbers). Empty table: no rows. Extra columns don't matter.
     """
     need(docs, id, text)
     lexicons = (NOTHING, NOTHING) if labels is None else learn_lexicons(spark, docs, labels, id=id, text=text, **(learning or {}))
@@ -290,12 +292,12 @@ def toxic_documents(
         known = set(weights)
         for b in slices(batches, "text"):
             out = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, t in enumerate(b.column(1).to_pylist()):
                 margin = bias + sum(sorted(weights[w] for w in known.intersection(features(t, begins))))
                 p = 1 / (1 + math.exp(-max(-500.0, min(500.0, margin))))
                 if p > threshold:
                     out.append((i, p))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], type=pa.int64()), pa.array([x[1] for x in out], type=pa.float64())], names=["doc_id", "probability"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([x[0] for x in out], type=pa.int64())), pa.array([x[1] for x in out], type=pa.float64())], names=["doc_id", "probability"])
 
-    narrow = docs.select(col(id).cast("long").alias("id"), col(text).cast("string").alias("text")).filter("text IS NOT NULL AND text <> ''")
-    return narrow.mapInArrow(run, "doc_id long, probability double")
+    narrow = docs.select(col(id).alias("id"), col(text).cast("string").alias("text")).filter("text IS NOT NULL AND text <> ''")
+    return narrow.mapInArrow(run, f"doc_id {docs.schema[id].dataType.simpleString()}, probability double")

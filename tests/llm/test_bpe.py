@@ -74,8 +74,8 @@ def test_columns(spark, edge_docs, no_docs):
     key = lambda r: repr(sorted(r.asDict().items(), key=str))
     assert sorted(map(key, back.collect())) == sorted(map(key, edge_docs.collect()))
     assert bpe_encode(spark, no_docs).collect() == []
-    with pytest.raises(ValueError):
-        bpe_encode(spark, edge_docs, ids="ID")
+    clash = bpe_encode(spark, edge_docs.withColumnRenamed("fp", "Round_Trip"), ids="ID", check="round_trip")
+    assert clash.columns[-2:] == ["ID_", "round_trip_"] and all(r["round_trip_"] for r in clash.collect() if r["text"] is not None)
 
 
 def test_whole_table(spark, documents):

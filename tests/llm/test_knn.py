@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from sparlode.llm.knn import blocks_of, bounds, distances, knn_join
+from sparlode.llm.knn import _assign, blocks_of, bounds, distances, knn_join, kth_of_sample, replicate
 
 
 def brute(rows, k, others=None):
@@ -58,11 +58,42 @@ def test_bounds_hold_for_every_query():
     x, p, k = rng.normal(size=(200, 3)), rng.normal(size=(5, 3)), 3
     cell = distances(x[:, None], p[None]).argmin(1)
     to = distances(x, p[cell])
-    query = {c: (to[cell == c].max(), int((cell == c).sum())) for c in range(5) if (cell == c).any()}
+    query = {c: (to[cell == c].max(), int((cell == c).sum()), np.inf) for c in range(5) if (cell == c).any()}
     data = {c: np.sort(to[cell == c])[: k + 1].tolist() for c in query}
     theta, _ = bounds(p, query, data, k, True)
     kth = np.sort(distances(x[:, None], x[None]), axis=1)[:, k]
     assert all(kth[i] <= theta[cell[i]] for i in range(200))
+    ids = np.arange(200)
+    upper = kth_of_sample(ids, x, ids[:50], x[:50], k, True)
+    assert (kth <= upper).all() and np.isinf(kth_of_sample(ids, x, ids[:2], x[:2], k, True)).all()
+
+
+def test_few_rows_travel_where_data_cluster():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    centers, k = rng.normal(size=(40, 8)) * 10, 5
+    x = centers[rng.integers(40, size=6000)] + rng.normal(size=(6000, 8)) * 0.3
+    ids = np.arange(6000)
+    p = x[:60]
+    b = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(x.tolist())], names=["id", "vec"])
+    a = next(_assign(8, p, (ids[:960], x[:960]), k, True)([b]))
+    cell, to, upper = (a.column(i).to_numpy() for i in (2, 3, 4))
+    query = {c: (to[cell == c].max(), int((cell == c).sum()), upper[cell == c].max()) for c in set(cell.tolist())}
+    theta, between = bounds(p, query, {c: np.sort(to[cell == c])[: k + 1].tolist() for c in query}, k, True)
+    _, members = blocks_of(between, {c: q[1] for c, q in query.items()}, 300)
+    sent = sum(r.num_rows for r in replicate(theta, between, query, members, 3)([a]))
+    assert len(members) > 15 and len(x) <= sent < 0.2 * len(members) * len(x)
+
+
+def test_slices_and_queries_within_the_data(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    got = found(knn_join(spark, df.filter("vec_id % 10 = 0"), df, k=6, exclude_self=True, block=15, slice_bytes=2000))
+    assert got == {i: x for i, x in brute(rows, 6).items() if i % 10 == 0}
+    with pytest.raises(ValueError):
+        knn_join(spark, df.selectExpr("cast(vec_id as string) vec_id", "embedding"))
 
 
 def test_blocks_hold_all_cells():

@@ -2,6 +2,8 @@ import math
 import re
 from collections import Counter
 
+import pytest
+
 from sparlode.llm.langid import UNDECIDED, Model, fit, identify, train
 from sparlode.llm.queries import op4_language
 
@@ -17,13 +19,36 @@ def test_known_words_first_then_shorter_grams():
     assert m.detect("bongan bongab")[0] == "aa" and m.detect("tirrik")[0] == "bb" and m.detect("zz")[0] == "aa"
 
 
-def test_scores_by_brute_force():
-    texts = [("x", "lorem ipsum dolor ipsum"), ("y", "foo bar baz foo bar"), ("y", "bar quux quux")]
-    m = fit((k, Counter(t.split())) for k, t in texts)
-    for t in ("ipsum foo foo unknownword", "bar dolor", "qu"):
-        words = re.findall(r"[a-z]+", t)
-        want = [sum(m.word(w)[k] for w in words) / len(words) for k in range(2)]
-        assert all(math.isclose(a, b) for a, b in zip(m.scores(t), want, strict=True))
+def plain_score(train: list[tuple[str, str]], text: str) -> dict[str, float]:
+    """The method once more, from the texts alone: word frequencies, then the longest known grams of each unknown word."""
+    langs, words = sorted({k for k, _ in train}), [(k, w) for k, t in train for w in re.findall(r"[^\W\d_]+", t.lower())]
+
+    def logs(items, least):
+        tables = {k: Counter(x for y, x in items if y == k) for k in langs}
+        known = [x for x, n in Counter(x for _, x in items).items() if n >= least]
+        size = {k: sum(tables[k][x] + 0.5 for x in known) for k in langs}
+        return {x: {k: math.log((tables[k][x] + 0.5) / size[k]) for k in langs} for x in known}
+
+    by_word = logs(words, 2)
+    grams = {n: logs([(k, p[i : i + n]) for k, w in words for p in [f"^{w}$"] for i in range(len(p) - n + 1)], 3) for n in range(1, 6)}
+    total = dict.fromkeys(langs, 0.0)
+    asked = re.findall(r"[^\W\d_]+", text.lower())
+    for w in asked:
+        found = [by_word[w]] if w in by_word else []
+        for n in range(5, 0, -1):
+            found = found or [grams[n][g] for i in range(len(w) + 3 - n) if (g := f"^{w}$"[i : i + n]) in grams[n]]
+        for k in langs:
+            total[k] += sum(f[k] for f in found) / len(found) if found else 0.0
+    return {k: x / len(asked) for k, x in total.items()}
+
+
+def test_scores_by_brute_force(spark, documents):
+    train_rows = [(r["lang"], r["text"]) for r in documents.filter("doc_id % 9 = 0").collect()]
+    m = fit((k, Counter(re.findall(r"[^\W\d_]+", t.lower()))) for k, t in train_rows)
+    for r in documents.filter("doc_id % 9 = 1").limit(6).collect():
+        want, got = plain_score(train_rows, r["text"] + " unknownword qxz 語"), m.scores(r["text"] + " unknownword qxz 語")
+        assert all(math.isclose(got[i], want[k], rel_tol=1e-9) for i, k in enumerate(sorted(want)))
+        assert m.detect(r["text"] + " unknownword qxz 語")[0] == max(want, key=want.get)
 
 
 def test_held_out(spark):
@@ -51,3 +76,10 @@ def test_query_agrees_with_the_model(spark, sf, documents):
     m = train(spark, documents)
     got = {r["doc_id"]: r["detected"] for r in op4_language(spark, sf).collect()}
     assert got == {r["doc_id"]: m.detect(r["text"])[0] for r in documents.collect()}
+
+
+def test_too_many_languages_and_ids_of_another_kind(spark):
+    df = spark.createDataFrame([(f"d{i}", f"word{i}", f"l{i}") for i in range(5)], "doc_id string, text string, lang string")
+    with pytest.raises(ValueError):
+        identify(spark, df, most_langs=4)
+    assert {r["doc_id"] for r in identify(spark, df).collect()} == {f"d{i}" for i in range(5)}

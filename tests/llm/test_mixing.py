@@ -1,8 +1,9 @@
+import math
 import random
 
 import pytest
 
-from sparlode.llm.mixing import flight, inclusion, land, mix, tokens_of
+from sparlode.llm.mixing import _hashes, flight, inclusion, land, mix, token_count, tokens_of
 from sparlode.llm.queries import op5_mixing
 
 from .conftest import prose
@@ -61,7 +62,59 @@ def test_table(spark):
     assert sorted(r["doc_id"] for r in mix(spark, docs, targets={"a": 1, "b": 3}).collect()) == sorted(r["doc_id"] for r in out)
 
 
+def test_tokens_in_java_and_python(spark):
+    texts = ["", None, " a  b\u3000c\n", "日本語 テキスト x", "a語b", "\U00020001\U00020002 é", "\x1f\x85\xa0", "one"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(token_count(df["t"])).collect()] == [tokens_of(t) for t in texts] == [0, 0, 3, 8, 3, 3, 0, 1]
+
+
+def test_the_sample_is_that_of_the_rows(spark):
+    """A copy of the method without Spark decides alike, whatever the order and the files."""
+    rows = [(i, prose(i, 5 + i % 90), "abc"[i % 3]) for i in range(700)] + [(5000, prose(1, 20), "a")] * 40 + [(5001, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    how = dict(targets={"a": 2, "b": 3, "c": 1, None: 1}, bucket=100)
+    got = [sorted(map(tuple, mix(spark, d, **how).collect()), key=repr) for d in (docs.repartition(3), docs.orderBy(docs["doc_id"].desc()).coalesce(1), docs.repartition(7, "text"))]
+    assert got[0] == got[1] == got[2]
+    k = docs.select("*", *_hashes(docs)).distinct().collect()
+    units = sorted((r[3], r[4], r[2], tokens_of(r[1]), rows.count((r[0], r[1], r[2])), r[0]) for r in k if r[2] is not None)
+    units += [(r[3], r[4], None, 0, 1, r[0]) for r in k if r[2] is None]
+    totals = {}
+    for _, _, s, t, m, _ in units:
+        d, n = totals.get(s, (0, 0))
+        totals[s] = (d + m, n + m * t)
+    p, buckets = inclusion(totals, how["targets"]), math.ceil(len(rows) / 100)
+    taken, left = {}, {}
+    for b in range(buckets):
+        held, decided = {}, []
+        for a, c, s, t, m, i in sorted((u for u in units if u[0] % buckets == b), key=lambda u: u[:2]):
+            taken[i] = int(p[s] * m + 1e-9)
+            rest = p[s] * m - taken[i]
+            flight(held.setdefault(s, []), [rest if rest > 1e-9 else 0.0, t, (a, c), i], 11, decided)
+        for x in decided:
+            taken[x[3]] += int(x[0])
+        for s, us in held.items():
+            left.setdefault(s, []).extend(us)
+    for us in left.values():
+        held, decided = [], []
+        for x in sorted(us, key=lambda x: x[2]):
+            flight(held, x, 11, decided)
+        for x in decided + land(held, 11):
+            taken[x[3]] += int(x[0])
+    count = {}
+    for r in got[0]:
+        count[r[0]] = count.get(r[0], 0) + 1
+    assert count == {i: n for i, n in taken.items() if n} and 0 < count[5000] < 40
+
+
+def test_shuffled_joins_decide_alike(spark):
+    docs = spark.createDataFrame([(i, prose(i, 5 + i % 90), "ab"[i % 2]) for i in range(300)], "doc_id long, text string, source string")
+    few = [sorted(r["doc_id"] for r in mix(spark, docs, share=x, broadcast_rows=n).collect()) for x in (0.2, 0.8) for n in (0, 1000)]
+    assert few[0] == few[1] and few[2] == few[3] and len(few[0]) < 100 < 200 < len(few[2])
+
+
 def test_edges(spark, edge_docs, no_docs):
+    clash = mix(spark, spark.createDataFrame([(1, "a b", "s", 7)], "doc_id long, text string, source string, n long"), count="n")
+    assert clash.columns == ["doc_id", "text", "source", "n", "n_"] and [r["n_"] for r in clash.collect()] == [2]
     out = mix(spark, edge_docs)
     assert out.schema == edge_docs.schema and 0 < out.count() <= edge_docs.count()
     everything = mix(spark, edge_docs, targets={"a": 0, "b": 1, None: 1}).collect()

@@ -35,8 +35,10 @@ def test_rows(spark, edge_docs, no_docs):
     assert [r["position"] for r in rows] == permute(np.arange(n), n, 2).tolist()
     assert all((r["shard"], r["slot"]) == (r["position"] % 4, r["position"] // 4) for r in rows)
     assert shard_rows(spark, no_docs).collect() == []
+    clash = shard_rows(spark, edge_docs.withColumnRenamed("id", "SLOT"), shards=4, seed=2, carry=["SLOT", "text"])
+    assert clash.columns == ["doc_id", "row_number", "position", "shard", "slot", "SLOT_", "text"] and {r["SLOT_"] for r in clash.collect()} == {"i"}
     with pytest.raises(ValueError):
-        shard_rows(spark, edge_docs, carry=["SLOT"])
+        shard_rows(spark, edge_docs.selectExpr("cast(doc_id as string) doc_id"))
 
 
 def test_written_shards(spark, tmp_path):
