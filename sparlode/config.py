@@ -61,6 +61,7 @@ class OptimizeRequest:
     force_full_compaction: bool = True
     checkpoint_only: bool = False
     repair_indexes: bool = False
+    indexes: bool = True  # keep postings and cells of the new version
 
 
 @dataclass

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vector as V
+from ..storage_util import save
 
 #: A query table of up to this many bytes is broadcast as one matrix.
 BROADCAST_BYTES = 64 << 20
+#: Sizes of up to so many groups are broadcast.
+_GROUPS = 200_000
 
 
 def with_distance(records: DataFrame, query: Sequence[float], metric: str = "cosine", vector: str = "embedding", name: str = "dist") -> DataFrame:
@@ -39,7 +42,7 @@ def batch_topk(
     """(qid, rank, id, dist) for each query of the table.
 
     Queries of up to ``broadcast_bytes`` go to every task as one matrix, and a task keeps k rows for each query: the records are
-    read once and only tasks x queries x k narrow rows are shuffled. A larger table is joined pair by pair, in distributed tasks.
+    read once and only tasks x queries x k narrow rows are shuffled. A larger table meets the records block by block, see ``topk_in_groups``.
     """
     spark = records.sparkSession
     q = queries.select(F.col(qid).alias("qid"), V.as_vector(F.col(query_vector)).alias("qv"))
@@ -50,42 +53,85 @@ def batch_topk(
     if size[0] <= broadcast_bytes:
         near = r.mapInArrow(_matcher(spark, q, k, metric, exclude_self), "qid long, id long, dist double")
     else:
-        keep = (F.col("qid") != F.col("id")) if exclude_self else F.lit(True)
-        near = q.hint("shuffle_replicate_nl").crossJoin(r).filter(keep).select("qid", "id", V.distance(metric, F.col("v"), F.col("qv")).alias("dist"))
+        near = topk_in_groups(r.withColumn("g", F.lit(0)), q.withColumn("g", F.lit(0)), k, metric, exclude_self)
     return rank_within(near, k, "dist", "id").select("qid", "rank", "id", "dist")
 
 
+class _Best:
+    """The k nearest so far of some queries."""
+
+    def __init__(self, qids: np.ndarray, queries: np.ndarray, k: int, metric: str, exclude_self: bool):
+        self.qids, self.queries, self.k, self.metric, self.exclude = qids, queries, k, metric, exclude_self
+        self.dist, self.who = np.full((len(qids), k), np.inf), np.full((len(qids), k), np.iinfo(np.int64).max)
+
+    def add(self, ids: np.ndarray, v: np.ndarray) -> None:
+        """By a matrix product first; what may be among the nearest is computed again in the exact order of sums."""
+        k = self.k
+        for lo in range(0, len(ids), 2048):
+            i, x = ids[lo : lo + 2048], v[lo : lo + 2048]
+            d = V.distance_matrix(self.metric, self.queries, x)
+            slack = 1e-9 * (1 + np.abs(d).max())
+            limit = self.dist[:, -1] + slack
+            if len(i) > 2 * k + 2:
+                limit = np.minimum(limit, np.partition(d, k, axis=1)[:, k] + slack)
+            a, c = np.nonzero(d <= limit[:, None])
+            if self.exclude:
+                other = self.qids[a] != i[c]
+                a, c = a[other], c[other]
+            if len(a):
+                _keep(self.dist, self.who, k, a, V.distance_rows(self.metric, x[c], self.queries[a]), i[c])
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, c = np.nonzero(np.isfinite(self.dist))
+        return self.qids[a], self.who[a, c], self.dist[a, c]
+
+
+def vectors_of(column) -> np.ndarray:
+    """A column of lists of one length as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def _matcher(spark: SparkSession, q: DataFrame, k: int, metric: str, exclude_self: bool):
     rows = q.orderBy("qid").collect()
     qids = np.array([r[0] for r in rows], dtype=np.int64)
-    dim = len(rows[0][1])
-    shared = spark.sparkContext.broadcast(np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), dim))
+    shared = spark.sparkContext.broadcast(np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), len(rows[0][1])))
 
     def match(batches):
-        queries = shared.value
-        best_d, best_i = np.full((len(qids), k), np.inf), np.full((len(qids), k), np.iinfo(np.int64).max)
+        best = _Best(qids, shared.value, k, metric, exclude_self)
         for b in batches:
-            ids, column = b.column(0).to_numpy(), b.column(1)
-            for lo in range(0, len(ids), 2048):
-                i = ids[lo : lo + 2048]
-                v = column.slice(lo, 2048).flatten().to_numpy(zero_copy_only=False).reshape(len(i), dim)
-                d = V.distance_matrix(metric, queries, v)
-                slack = 1e-9 * (1 + np.abs(d).max())
-                limit = best_d[:, -1] + slack
-                if len(i) > 2 * k + 2:
-                    limit = np.minimum(limit, np.partition(d, k, axis=1)[:, k] + slack)
-                a, c = np.nonzero(d <= limit[:, None])
-                if exclude_self:
-                    other = qids[a] != i[c]
-                    a, c = a[other], c[other]
-                if len(a):
-                    _keep(best_d, best_i, k, a, V.distance_rows(metric, v[c], queries[a]), i[c])
-        a, c = np.nonzero(np.isfinite(best_d))
-        yield pa.RecordBatch.from_arrays([pa.array(qids[a]), pa.array(best_i[a, c]), pa.array(best_d[a, c])], names=["qid", "id", "dist"])
+            if b.num_rows:
+                best.add(b.column(0).to_numpy(), vectors_of(b.column(1)))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in best.rows()], names=["qid", "id", "dist"])
 
     return match
 
 
+def topk_in_groups(records: DataFrame, queries: DataFrame, k: int, metric: str, exclude_self: bool = False, block: int = 32_768) -> DataFrame:
+    """(qid, id, dist): for each query (qid, qv, g) at least the k nearest of the records (id, v, g) of its groups.
+
+    Groups of over ``block`` records or queries are cut into blocks by the hash of the id, and each pair of blocks meets in a task of
+    its own, which keeps k rows for each query; a group of any size fits.
+    """
+    size = lambda rows, name: rows.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    n = save(size(records, "rn").join(size(queries, "qn"), "g"), "group-sizes")
+    n = F.broadcast(n) if n.count() <= _GROUPS else n
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    r = records.join(n, "g").select("g", F.pmod(F.xxhash64("id"), "rn").cast("int").alias("rb"), every("qn").alias("qb"), "id", "v")
+    q = queries.join(n, "g").select("g", every("rn").alias("rb"), F.pmod(F.xxhash64("qid"), "qn").cast("int").alias("qb"), "qid", "qv")
+
+    def match(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = ([], [], [])
+        if left.num_rows and right.num_rows:
+            best = _Best(right.column("qid").to_numpy(), vectors_of(right.column("qv")), k, metric, exclude_self)
+            best.add(left.column("id").to_numpy(), vectors_of(left.column("v")))
+            out = best.rows()
+        return pa.table([pa.array(x, type=t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["qid", "id", "dist"])
+
+    keys = ("g", "rb", "qb")
+    return r.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(match, "qid long, id long, dist double")
+
+
 def _keep(best_d, best_i, k, a, d, i) -> None:
     rows = np.unique(a)
     a = np.concatenate([a, np.repeat(rows, k)])

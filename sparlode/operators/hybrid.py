@@ -9,11 +9,21 @@ from pyspark.sql.window import Window
 ALPHA = 0.65
 
 
-def minmax(pool: DataFrame, score: str = "score", name: str = "norm", by: str = "qid") -> DataFrame:
-    """Scores of each qid to 0..1 over the pool; 1 for all where they hardly differ."""
+def _scaled(score: str, low: Column, high: Column) -> Column:
+    return F.when(high - low < 1e-12, F.lit(1.0)).otherwise((F.col(score) - low) / (high - low))
+
+
+def minmax(rows: DataFrame, score: str = "score", name: str = "norm", by: str = "qid") -> DataFrame:
+    """Scores of each ``by`` to 0..1; 1 for all where they hardly differ. One aggregation with partial results and a join, so a
+    group of any size is never held together."""
+    ends = rows.groupBy(F.col(by).alias("_by")).agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
+    return rows.join(ends, F.col(by).eqNullSafe(F.col("_by"))).withColumn(name, _scaled(score, F.col("_low"), F.col("_high"))).drop("_by", "_low", "_high")
+
+
+def minmax_pool(pool: DataFrame, score: str = "score", name: str = "norm", by: str = "qid") -> DataFrame:
+    """The same for pools of candidates, which are cut to their size before and computed once."""
     w = Window.partitionBy(by)
-    low, span = F.min(score).over(w), F.max(score).over(w) - F.min(score).over(w)
-    return pool.withColumn(name, F.when(span < 1e-12, F.lit(1.0)).otherwise((F.col(score) - low) / span))
+    return pool.withColumn(name, _scaled(score, F.min(score).over(w), F.max(score).over(w)))
 
 
 def clamp_alpha(alpha: float | None) -> float:
@@ -22,8 +32,8 @@ def clamp_alpha(alpha: float | None) -> float:
 
 def union_pools(vec: DataFrame, lex: DataFrame) -> DataFrame:
     """(qid, id, dist, v, l) of candidates (qid, id, dist, score) and (qid, id, score), normalised each in its own pool."""
-    v = minmax(vec, name="v").select("qid", "id", "dist", "v")
-    x = minmax(lex, name="l").select("qid", "id", "l")
+    v = minmax_pool(vec, name="v").select("qid", "id", "dist", "v")
+    x = minmax_pool(lex, name="l").select("qid", "id", "l")
     return v.join(x, ["qid", "id"], "full_outer")
 
 

@@ -59,22 +59,50 @@ def query_terms(queries: DataFrame, qid: str = "qid", text: str = "text") -> Dat
     return queries.select(F.col(qid).alias("qid"), F.explode(tokens(F.col(text))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
+def _folded(x: DataFrame, tf: Column, k1: float) -> DataFrame:
+    """(qid, id, score) of rows (qid, id, term, df, n, qtf and what field_tf needs); a document's terms are added in their order."""
+    part = idf(F.col("n"), F.col("df")) * ((tf * (k1 + 1.0)) / (tf + k1)) * F.col("qtf")
+    x = x.select("qid", "id", "term", part.alias("s"))
+    folded = F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("term", "s"))), lambda t: t["s"]), F.lit(0.0), lambda a, s: a + s)
+    return x.groupBy("qid", "id").agg(folded.alias("score"))
+
+
 def scores(post: DataFrame, doc_len: DataFrame, terms: DataFrame, *, stats: DataFrame | None = None, allowed: DataFrame | None = None, k1: float = K1) -> DataFrame:
-    """(qid, id, score) of every document that has a term of the query.
+    """(qid, id, score) of every document that has a term of the query, from kept postings and lengths.
 
     df, n and the average lengths are those of all documents; ``allowed`` (id) only restricts the scored ones. Postings of
-    other terms are dropped before the shuffle; a document's terms are added in their order, so sums are reproducible.
+    other terms are dropped before the shuffle; a document's terms are added in their order, so sums are reproducible. Up to
+    100,000 terms of the queries, and their frequencies, are broadcast.
     """
     stats = statistics(doc_len) if stats is None else stats
-    mine = post.join(F.broadcast(terms.select("term").distinct()) if _few(terms) else terms.select("term").distinct(), "term", "left_semi")
+    few = F.broadcast if _few(terms) else lambda x: x
+    mine = post.join(few(terms.select("term").distinct()), "term", "left_semi")
     df = document_frequencies(mine)
     x = mine if allowed is None else mine.join(allowed.select("id"), "id", "left_semi")
-    x = x.join(df, "term").join(doc_len, "id").join(terms, "term").crossJoin(F.broadcast(stats))
-    tf = field_tf()
-    part = idf(F.col("n"), F.col("df")) * ((tf * (k1 + 1.0)) / (tf + k1)) * F.col("qtf")
-    x = x.select("qid", "id", "term", part.alias("s"))
-    folded = F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("term", "s"))), lambda t: t["s"]), F.lit(0.0), lambda a, s: a + s)
-    return x.groupBy("qid", "id").agg(folded.alias("score"))
+    x = x.join(few(df), "term").join(few(terms), "term").join(doc_len, "id").crossJoin(F.broadcast(stats))  # one row
+    return _folded(x, field_tf(), k1)
+
+
+def search_scores(records: DataFrame, fields: dict[str, str], query: str, *, allowed: Column | None = None, id: str = "id", k1: float = K1) -> DataFrame:
+    """(qid, id, score) for the text of one query, without postings: 0 is its qid.
+
+    Texts are read and cut into tokens once. What is shuffled for each document is its id, its lengths and those of its tokens that the query
+    has; statistics, document frequencies and scores are all taken from that one exchange.
+    """
+    wanted = dict(Counter(tokens_of(query)))
+    spark = records.sparkSession
+    cut = records.select(F.col(id).alias("id"), (F.lit(True) if allowed is None else F.coalesce(allowed, F.lit(False))).alias("ok"), *(tokens(F.col(c)).alias(f"t_{f}") for f, c in fields.items()))
+    known = F.array(*(F.lit(t) for t in sorted(wanted))) if wanted else F.array().cast("array<string>")
+    hits = F.concat(*(F.transform(F.filter(F.col(f"t_{f}"), lambda t: F.array_contains(known, t)), _tagged(f)) for f in fields))
+    base = cut.select("id", "ok", *((F.size(f"t_{f}").cast("long") if f in fields else F.lit(0).cast("long")).alias(f"len_{f}") for f in FIELDS), hits.alias("hits")).repartition("id")
+    stats = statistics(base)
+    df = base.select("id", F.explode(F.array_distinct(F.transform("hits", lambda t: t["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = F.broadcast(df.join(literal_terms(spark, query), "term"))  # at most the query's terms
+    lens = [f"len_{f}" for f in FIELDS]
+    mine = base.filter("ok").select("id", *lens, F.explode("hits").alias("t")).select("id", *lens, "t.term", "t.field")
+    tf = [F.least(F.sum((F.col("field") == f).cast("long")), F.lit(MOST_TF)).alias(f"tf_{f}") for f in FIELDS]
+    x = mine.groupBy("id", "term").agg(*(F.first(c).alias(c) for c in lens), *tf)
+    return _folded(x.join(df, "term").crossJoin(F.broadcast(stats)), field_tf(), k1)
 
 
 def _few(terms: DataFrame, most: int = 100_000) -> bool:

@@ -76,10 +76,10 @@ class RagPipeline:
 
         return chunks.withColumn("document", build("doc_id", "metadata", "chunk_idx", "text"))
 
-    def ingest_table(self, documents: DataFrame) -> tuple[int, int]:
-        """(first id, chunks): a whole table of documents in one commit, chunks in order of (doc_id, chunk_idx)."""
+    def ingest_table(self, documents: DataFrame, stream: tuple[str, int] | None = None) -> tuple[int, int]:
+        """(first id, chunks): a whole table of documents in one commit, chunks in order of (doc_id, chunk_idx). ``stream``: as in insert_table."""
         rows = embed_table(self.chunk_table(documents), self.embedder, self.db.dim)
-        return self.db.insert_table(rows, [F.col("doc_id"), F.col("chunk_idx")])
+        return self.db.insert_table(rows, [F.col("doc_id"), F.col("chunk_idx")], stream=stream)
 
     def search(self, query: str, top_k: int) -> list[dict]:
         """Hits (id, score, document), of a hybrid search and the reranker if there is one."""

@@ -7,6 +7,7 @@ filter -> BM25F (all documents' statistics) -+
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -15,12 +16,16 @@ from pyspark.sql import functions as F
 
 from ..errors import DimensionMismatch, Internal, InvalidConfig
 from ..functions import vector as V
-from ..operators import exact, hybrid, lexical
+from ..operators import exact, hybrid, ivf, lexical
 from ..operators import filters as filters_
 from ..operators.filters import And, Eq
 
 #: Candidates for each wanted hit, where a later step drops or reorders some.
 OVERFETCH = 20
+#: Up to so many hits are broadcast to fetch their documents.
+BROADCAST_HITS = 1_000_000
+#: Up to so many candidates are scanned exactly, even where there is an index.
+EXACT_ROWS = 50_000
 FIELDS = {"text": "text", "title": "title", "tags": "tags_text"}
 HITS = "rank int, id long, score double, document string"
 
@@ -93,13 +98,18 @@ def search(
         near = find(live, request.vector, n_near).select(F.lit(0).cast("long").alias("qid"), "id", "dist")
         near = near.withColumn("score", V.score(metric, F.col("dist")))
     if request.text is not None:
-        post, doc_len = lexical_tables or (lexical.postings(records, fields), lexical.lengths(records, fields))
-        scored = lexical.scores(post, doc_len, lexical.literal_terms(records.sparkSession, request.text), allowed=live if request.filter is not None else None)
+        if lexical_tables is None:
+            scored = lexical.search_scores(records, fields, request.text, allowed=early if request.filter is not None else None)
+        else:
+            post, doc_len = lexical_tables
+            terms = lexical.literal_terms(records.sparkSession, request.text)
+            post = post.filter(F.col("term").isin(sorted(set(lexical.tokens_of(request.text)))))  # reaches the scan
+            scored = lexical.scores(post, doc_len, terms, allowed=live if request.filter is not None else None)
         lex = lexical.topk(scored, n_lex)
     if lex is None:
         hits = near
     elif near is None:
-        hits = hybrid.minmax(lex).select("qid", "id", F.lit(None).cast("double").alias("dist"), F.col("norm").alias("score"))
+        hits = hybrid.minmax_pool(lex).select("qid", "id", F.lit(None).cast("double").alias("dist"), F.col("norm").alias("score"))
     else:
         both = hybrid.union_pools(near, lex)
         hits = both.select("qid", "id", "dist", hybrid.fused(hybrid.clamp_alpha(request.hybrid_alpha)).alias("score"))
@@ -109,7 +119,8 @@ def search(
         hits = hits.join(records.filter(plan.residual).select("id"), "id", "left_semi")
     best = hits.select("id", "score").orderBy(F.desc("score"), "id").limit(request.top_k)
     ranked = exact.rank_within(best, None, F.desc("score"), "id", by=None)  # at most top_k rows
-    return records.select("id", "document").join(F.broadcast(ranked), "id").select("rank", "id", "score", "document").orderBy("rank")
+    ranked = F.broadcast(ranked) if request.top_k <= BROADCAST_HITS else ranked
+    return records.select("id", "document").join(ranked, "id").select("rank", "id", "score", "document").orderBy("rank")
 
 
 def search_batch(
@@ -135,7 +146,7 @@ def search_batch(
     if lex is None:
         hits = near
     elif near is None:
-        hits = hybrid.minmax(lex).select("qid", "id", F.lit(None).cast("double").alias("dist"), F.col("norm").alias("score"))
+        hits = hybrid.minmax_pool(lex).select("qid", "id", F.lit(None).cast("double").alias("dist"), F.col("norm").alias("score"))
     else:
         hits = hybrid.union_pools(near, lex).select("qid", "id", "dist", hybrid.fused(hybrid.clamp_alpha(alpha)).alias("score"))
     if radius is not None:
@@ -148,6 +159,34 @@ def with_documents(hits: DataFrame, records: DataFrame) -> DataFrame:
     return hits.join(records.select("id", "document"), "id")
 
 
-def search_database(db, request: SearchRequest, **how) -> DataFrame:
-    """The same over the newest version of a database."""
-    return search(db.records(), request, dim=db.dim, metric=db.metric, ann_only=db.ann_only, default_ef=db.config.index.ef_search, **how)
+def search_database(db, request: SearchRequest, *, exact_rows: int = EXACT_ROWS, **how) -> DataFrame:
+    """The same over the newest version of a database, with the indexes that its last ``optimize`` has kept, if they are of this version.
+
+    Of more than ``exact_rows`` candidates (live rows, or those that pass the filter) the cells that are nearest to the query are
+    searched, as many as hold ``ef_search`` times a tenth of a percent of all; of fewer, all are. A radius is always exact.
+    """
+    records = db.records()
+    if "lexical_tables" not in how and request.text is not None:
+        how["lexical_tables"] = db.postings()
+    if "nearest" not in how and not request.lexical_only and request.radius is None and db.count() > exact_rows:
+        cells = db.cells()
+        if cells is not None and (request.filter is None or _more(records, request, exact_rows)):
+            centroids, assigned = cells
+            ef = request.ef_search or db.config.index.ef_search
+            how["nearest"] = nearest_in_cells(assigned, centroids, max(1, math.ceil(len(centroids) * min(1.0, ef / 1000))), db.metric, request.filter is not None)
+    return search(records, request, dim=db.dim, metric=db.metric, ann_only=db.ann_only, default_ef=db.config.index.ef_search, **how)
+
+
+def _more(records: DataFrame, request: SearchRequest, n: int) -> bool:
+    return records.filter(filters_.plan(request.filter).condition).select("id").limit(n + 1).count() > n
+
+
+def nearest_in_cells(assigned: DataFrame, centroids, nprobe: int, metric: str = "cosine", filtered: bool = False) -> Callable:
+    """For ``nearest`` of ``search``: the k nearest of the records in the ``nprobe`` cells that are nearest to the query."""
+
+    def find(live: DataFrame, vector: Sequence[float], k: int) -> DataFrame:
+        near = assigned.filter(F.col("cell").isin(ivf.probes(vector, centroids, nprobe)))
+        near = near.join(live.select("id"), "id", "left_semi") if filtered else near
+        return exact.topk(near, vector, k, metric)
+
+    return find

@@ -11,8 +11,8 @@ from ..sources.store import Database
 
 
 def stream_records(rows: DataFrame, db: Database, checkpoint: str, order: list[str], once: bool = True) -> StreamingQuery:
-    """Stream of (embedding, document, and the columns of ``order``). A batch that is replayed after a crash is recognised by its number."""
-    return _start(rows, db, checkpoint, once, lambda batch: db.insert_table(batch, [F.col(c) for c in order]))
+    """Stream of (embedding, document, and the columns of ``order``). A batch that is replayed after a crash is recognised by its number, which is part of the commit of its rows."""
+    return _start(rows, db, checkpoint, once, lambda batch, mark: db.insert_table(batch, [F.col(c) for c in order], stream=mark))
 
 
 def stream_documents(rows: DataFrame, pipeline: RagPipeline, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -27,12 +27,7 @@ def distinct_within(rows: DataFrame, id: str, ts: str, delay: str) -> DataFrame:
 
 def _start(rows: DataFrame, db: Database, checkpoint: str, once: bool, insert) -> StreamingQuery:
     def commit(batch: DataFrame, number: int) -> None:
-        done = db.path / "streams"
-        mark = done / f"{checkpoint.strip('/').replace('/', '_')}-{number}"
-        if not mark.exists():
-            insert(batch)
-            done.mkdir(exist_ok=True)
-            mark.touch()
+        insert(batch, (checkpoint, number))
 
     writer = rows.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -30,7 +30,7 @@ def test_create_and_open(spark, path):
     again = Database.open(spark, path)
     assert (again.dim, again.metric, again.config.index.m, again.config.index.m0) == (8, "l2", 7, 32)
     assert live(db) == [] and db.count() == 0 and db.get_record(1) is None
-    (db.path / "manifest.json").write_text("{")
+    (db.path / "manifest-000000000001.json").write_text("{")
     with pytest.raises(Corruption):
         Database.open(spark, path)
 
@@ -115,6 +115,53 @@ def test_derived_tables_end_with_their_version(spark, path):
     assert Database.open(spark, path).load_derived("graph").count() == 3
     db.update_json(1, [2.0], {})
     assert db.load_derived("graph") is None
-    (db.path / "manifest.json").write_text(json.dumps(db.manifest | {"live": 7}))
+    (db.path / "manifest-000000000009.json").write_text(json.dumps(db.manifest | {"live": 7}))
     with pytest.raises(Corruption):
         Database.open(spark, path).check_health()
+
+
+def test_a_reader_of_an_older_version_goes_on(spark, path):
+    db = Database.create(spark, path, 1)
+    db.insert_json_batch([([float(i)], {"text": f"apple {i}"}) for i in range(4)])
+    pinned = db.records()
+    db.update_json(1, [9.0], {})
+    db.optimize()
+    assert sorted(r["id"] for r in pinned.collect()) == [1, 2, 3, 4] and len(list((db.path / "segments").iterdir())) == 3
+    (db.path / ".manifest-left-by-a-crash").write_text("{")
+    assert db.insert_json([1.0], {}) == 5  # nothing of a crashed writer stands in the way
+    db.vacuum()
+    assert len(list((db.path / "segments").iterdir())) == len(db.manifest["segments"]) and live(Database.open(spark, path)) == [1, 2, 3, 4, 5]
+
+
+def test_a_replayed_batch_of_a_stream_is_left_out(spark, path):
+    db = Database.create(spark, path, 1)
+    rows = spark.createDataFrame([(i, [float(i)], "{}") for i in range(3)], "k int, embedding array<float>, document string")
+    assert db.insert_table(rows, [F.col("k")], stream=("s", 0)) == (1, 3)
+    again = Database.open(spark, path)  # after a crash between the commit and the stream's own checkpoint
+    assert again.insert_table(rows, [F.col("k")], stream=("s", 0)) == (4, 0) and again.count() == 3
+    assert again.insert_table(rows, [F.col("k")], stream=("s", 1)) == (4, 3) and again.insert_table(rows, [F.col("k")], stream=("t", 0)) == (7, 3)
+
+
+def test_indexes_are_kept_and_used(spark, path):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    db = Database.create(spark, path, 4)
+    rows = spark.createDataFrame([(i, rng.normal(size=4).tolist(), json.dumps({"text": f"apple n{i}", "source": "ab"[i % 2], "x": i % 3})) for i in range(600)], "k int, embedding array<float>, document string")
+    db.insert_table(rows, [F.col("k")])
+    asked = [SearchRequest([1, 0, 0, 0], 5), SearchRequest([1, 0, 0, 0], 5, "n7 apple"), SearchRequest([1, 0, 0, 0], 5, filter=Eq("source", "a")), SearchRequest([], 5, "n7")]
+    want = [search_database(db, r).collect() for r in asked]
+    assert db.postings() is None and db.cells() is None
+    db.build_indexes(cells=20)
+    db = Database.open(spark, path)
+    assert len(db.cells()[0]) == 20 and db.postings()[1].count() == 600
+    for r, w in zip(asked, want, strict=True):
+        assert search_database(db, r).collect() == w  # few rows: exact
+        r.ef_search = 1000
+        assert search_database(db, r, exact_rows=10).collect() == w  # all cells
+    near = search_database(db, SearchRequest([1, 0, 0, 0], 5, ef_search=100), exact_rows=10)  # two of twenty cells
+    assert len({r["id"] for r in near.collect()} & {r["id"] for r in want[0]}) >= 2
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
+    db.insert_json([1.0, 0.0, 0.0, 0.0], {"text": "apple"})
+    assert db.postings() is None and search_database(db, SearchRequest([1, 0, 0, 0], 1), exact_rows=10).first()["id"] == 601
