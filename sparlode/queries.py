@@ -314,10 +314,13 @@ def hybrid_reference_pool(spark, sf):
 
 
 ALL = "rec AS (SELECT doc_id + 1 AS id, text, source, lang FROM documents)"
-LEX_ONLY = f"{_bm25_sql('rec', RFIELDS)}, lp AS (SELECT id, CASE WHEN max(score) OVER () - min(score) OVER () < 1e-12 THEN 1.0 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS score FROM (SELECT * FROM lex ORDER BY score DESC, id LIMIT 10)) SELECT lp.id, source, md5(text) AS digest, round(score, 9) AS score, row_number() OVER (ORDER BY score DESC, lp.id)::INTEGER AS rank FROM lp JOIN rec USING (id)"
 
 
-@query(f"WITH {ALL}, {LEX_ONLY}")
+def _lex_only_sql(fields: dict[str, str]) -> str:
+    return f"{_bm25_sql('rec', fields)}, lp AS (SELECT id, CASE WHEN max(score) OVER () - min(score) OVER () < 1e-12 THEN 1.0 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS score FROM (SELECT * FROM lex ORDER BY score DESC, id LIMIT 10)) SELECT lp.id, source, md5(text) AS digest, round(score, 9) AS score, row_number() OVER (ORDER BY score DESC, lp.id)::INTEGER AS rank FROM lp JOIN rec USING (id)"
+
+
+@query(f"WITH {ALL}, {_lex_only_sql(RFIELDS)}")
 def lexical_only(spark, sf):
     return _rounded(_hits(spark, sf, SearchRequest([], 10, f"  {QUERY_TEXT} "), documents(spark, sf)))
 
@@ -433,7 +436,7 @@ def get_record(spark, sf):
 ROWED = REC.replace("rec AS (", "rec0 AS (").replace(", qq AS", ", rec AS (SELECT row_number() OVER (ORDER BY id) AS id, v, text, source, lang FROM rec0), qq AS")
 
 
-@query(f"WITH {ROWED}, {LEX_ONLY}")
+@query(f"WITH {ROWED}, {_lex_only_sql({'text': 'text'})}")
 def store_lexical_index(spark, sf):
     """A text search by the postings that optimizing has kept."""
     db = _store(spark)
@@ -544,7 +547,7 @@ def chunk_metadata(spark, sf):
 b AS (SELECT doc_id, k, (('0x' || substr(h, 2 * k + 1, 2))::INTEGER - 127.5) / 127.5 AS x FROM h, LATERAL (SELECT unnest(range(length(h) // 2)) AS k)),
 v AS (SELECT doc_id, k % 64 AS d, sum(x) AS x FROM b GROUP BY ALL),
 n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM v GROUP BY doc_id)
-SELECT d.doc_id, j.d::INTEGER AS d, round(coalesce(v.x / nullif(n.n, 0), 0)::DOUBLE, 5) + 0.0 AS x FROM documents d CROSS JOIN (SELECT unnest(range(64)) AS d) j LEFT JOIN v ON v.doc_id = d.doc_id AND v.d = j.d LEFT JOIN n ON n.doc_id = d.doc_id""")
+SELECT d.doc_id, j.d::INTEGER AS d, round(coalesce(v.x / nullif(n.n, 0), 0)::FLOAT::DOUBLE, 5) + 0.0 AS x FROM documents d CROSS JOIN (SELECT unnest(range(64)) AS d) j LEFT JOIN v ON v.doc_id = d.doc_id AND v.d = j.d LEFT JOIN n ON n.doc_id = d.doc_id""")
 def deterministic_embed(spark, sf):
     """The numbers of all embeddings, to five digits."""
     e = table(spark, sf, "documents").select("doc_id", text.deterministic_embed(F.col("text"), 64).alias("e"))
