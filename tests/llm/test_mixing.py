@@ -68,28 +68,16 @@ def test_tokens_in_java_and_python(spark):
     assert [r[0] for r in df.select(token_count(df["t"])).collect()] == [tokens_of(t) for t in texts] == [0, 0, 3, 8, 3, 3, 0, 1]
 
 
-def test_the_sample_is_that_of_the_rows(spark):
-    """A copy of the method without Spark decides alike, whatever the order and the files."""
-    rows = [(i, prose(i, 5 + i % 90), "abc"[i % 3]) for i in range(700)] + [(5000, prose(1, 20), "a")] * 40 + [(5001, "", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    how = dict(targets={"a": 2, "b": 3, "c": 1, None: 1}, bucket=100)
-    got = [sorted(map(tuple, mix(spark, d, **how).collect()), key=repr) for d in (docs.repartition(3), docs.orderBy(docs["doc_id"].desc()).coalesce(1), docs.repartition(7, "text"))]
-    assert got[0] == got[1] == got[2]
-    k = docs.select("*", *_hashes(docs)).distinct().collect()
-    units = sorted((r[3], r[4], r[2], tokens_of(r[1]), rows.count((r[0], r[1], r[2])), r[0]) for r in k if r[2] is not None)
-    units += [(r[3], r[4], None, 0, 1, r[0]) for r in k if r[2] is None]
-    totals = {}
-    for _, _, s, t, m, _ in units:
-        d, n = totals.get(s, (0, 0))
-        totals[s] = (d + m, n + m * t)
-    p, buckets = inclusion(totals, how["targets"]), math.ceil(len(rows) / 100)
+def plain_sample(units, p: dict, bucket: int, seed: int = 11) -> dict:
+    """The method without Spark: key to how many copies stay. units: (hash, hash, source, tokens, copies, key)."""
+    buckets = max(1, math.ceil(sum(u[4] for u in units) / bucket))
     taken, left = {}, {}
     for b in range(buckets):
         held, decided = {}, []
         for a, c, s, t, m, i in sorted((u for u in units if u[0] % buckets == b), key=lambda u: u[:2]):
             taken[i] = int(p[s] * m + 1e-9)
             rest = p[s] * m - taken[i]
-            flight(held.setdefault(s, []), [rest if rest > 1e-9 else 0.0, t, (a, c), i], 11, decided)
+            flight(held.setdefault(s, []), [rest if rest > 1e-9 else 0.0, t, (a, c), i], seed, decided)
         for x in decided:
             taken[x[3]] += int(x[0])
         for s, us in held.items():
@@ -97,13 +85,32 @@ def test_the_sample_is_that_of_the_rows(spark):
     for us in left.values():
         held, decided = [], []
         for x in sorted(us, key=lambda x: x[2]):
-            flight(held, x, 11, decided)
-        for x in decided + land(held, 11):
+            flight(held, x, seed, decided)
+        for x in decided + land(held, seed):
             taken[x[3]] += int(x[0])
+    return {i: n for i, n in taken.items() if n}
+
+
+def sums_of(units) -> dict:
+    totals = {}
+    for _, _, s, t, m, _ in units:
+        d, n = totals.get(s, (0, 0))
+        totals[s] = (d + m, n + m * t)
+    return totals
+
+
+def test_the_sample_is_that_of_the_rows(spark):
+    """A copy of the method without Spark decides alike, whatever the order and the files."""
+    rows = [(i, prose(i, 5 + i % 90), "abc"[i % 3]) for i in range(700)] + [(5000, prose(1, 20), "a")] * 40 + [(5001, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    how = dict(targets={"a": 2, "b": 3, "c": 1, None: 1}, bucket=100)
+    got = [sorted(map(tuple, mix(spark, d, **how).collect()), key=repr) for d in (docs.repartition(3), docs.orderBy(docs["doc_id"].desc()).coalesce(1), docs.repartition(7, "text"))]
+    assert got[0] == got[1] == got[2]
+    units = [(r[3], r[4], r[2], tokens_of(r[1]), rows.count((r[0], r[1], r[2])), r[0]) for r in docs.select("*", *_hashes(docs)).distinct().collect()]
     count = {}
     for r in got[0]:
         count[r[0]] = count.get(r[0], 0) + 1
-    assert count == {i: n for i, n in taken.items() if n} and 0 < count[5000] < 40
+    assert count == plain_sample(units, inclusion(sums_of(units), how["targets"]), 100) and 0 < count[5000] < 40
 
 
 def test_shuffled_joins_decide_alike(spark):

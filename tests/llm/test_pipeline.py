@@ -1,19 +1,27 @@
+import itertools
+
 import corpus_pipeline
+import numpy as np
 import tiktoken
 
 import __spark_entry__
 from sparlode.llm.bpe import PATTERN, read_vocabulary
-from sparlode.llm.mixing import inclusion, source_totals
-from sparlode.llm.quality import estimate, rejected
-from sparlode.llm.secret_scan import redact
-from sparlode.llm.simhash import near_duplicates
+from sparlode.llm.mixing import LEAST_KEPT, _hashes, inclusion, tokens_of
+from sparlode.llm.quality import D, estimate
+from sparlode.llm.secret_scan import redact, scan
+
+from .test_mixing import plain_sample, sums_of
+from .test_quality import plain_statistics
+from .test_simhash import K, groups, plain_print
 
 
 def key(rows):
     return sorted(map(repr, rows))
 
 
-def test_every_stage_by_hand(spark, sf, documents):
+def test_every_stage_by_hand(spark):
+    sf = "/root/testdata/sf0.01"
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near-dedup", "secret scans", "mixing", "bpe"]
     docs, rows = documents, documents.collect()
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -27,17 +35,28 @@ def test_every_stage_by_hand(spark, sf, documents):
         docs, rows = out, results[name][3]
     docs, before, _, after = results["quality rules"]
     params = {(r["lang"], r["source"]): r["params"] for r in estimate(spark, docs).collect()}
-    assert key(after) == key(r for r in before if not rejected(r["text"], params[r["lang"], r["source"]]))
-    docs, before, _, after = results["near-dedup"]
-    gone = {r["doc_id"] for r in near_duplicates(spark, docs).collect()}
-    assert gone and key(after) == key(r for r in before if r["doc_id"] not in gone)
+
+    def far(r) -> bool:
+        p = params[r["lang"], r["source"]]
+        if p is None or not r["text"].split():
+            return False
+        z = np.array(plain_statistics(r["text"])) - p[:D]
+        return z @ np.array(p[D:-1]).reshape(D, D) @ z > p[-1]
+
+    assert key(after) == key(r for r in before if not far(r)) and len(after) < len(before)
+    _, before, _, after = results["near-dedup"]
+    prints = {r["doc_id"]: plain_print(r["text"]) for r in before}
+    root = groups([(a, b) for a, b in itertools.combinations(sorted(prints), 2) if (prints[a] ^ prints[b]).bit_count() <= K], prints)
+    # All pairs: what stays is one of each group; of small tables the grid finds all links.
+    assert key(after) == key(r for r in before if root[r["doc_id"]] == r["doc_id"]) and len(after) < len(before)
     _, before, _, after = results["secret scans"]
     assert sorted((r["doc_id"], redact(r["text"])) for r in before) == sorted((r["doc_id"], r["text"]) for r in after)
+    leaks = [r["text"][s[0] : s[1]] for r in before for _, s, _, _ in scan(r["text"])]
+    assert leaks and not any(x in r["text"] for x in leaks for r in after)
     docs, before, _, after = results["mixing"]
-    assert set(key(after)) <= set(key(before))
-    totals = {r[0]: (r[1], r[2]) for r in source_totals(docs).collect()}
-    for s, p in inclusion(totals).items():
-        assert abs(sum(r["source"] == s for r in after) - p * totals[s][0]) <= 1
+    units = [(*r[-2:], r["source"], tokens_of(r["text"]), 1, r["doc_id"]) for r in docs.select("*", *_hashes(docs)).collect()]
+    stays = plain_sample(units, inclusion(sums_of(units), least=LEAST_KEPT), 100_000)
+    assert key(after) == key(r for r in before if r["doc_id"] in stays)
     _, before, _, after = results["bpe"]
     tokens = read_vocabulary("/opt/tokenizers/byte_bpe_50k.tiktoken")
     theirs = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
@@ -58,3 +77,12 @@ def test_empty_and_edges(spark, edge_docs, tmp_path):
         out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
         assert "text" not in out.columns and "ids" in out.columns
         assert out.count() == 0 if name == "none" else 0 < out.count() <= 14
+
+
+def test_columns_that_clash_with_those_of_the_stages(spark, documents, tmp_path):
+    names = ["ids", "round_trip", "fp", "weak", "k1", "k2", "copies", "taken", "left", "cell", "_group_params", "_mix_1", "n_tokens"]
+    docs = documents.selectExpr("*", *(f"{i} AS `{n}`" for i, n in enumerate(names)))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [c for c in docs.columns if c != "text"] + ["ids_", "round_trip_"]
+    assert all(r["round_trip_"] and all(r[n] == i for i, n in enumerate(names)) for r in out.collect())

@@ -56,6 +56,8 @@ def test_votes():
     assert votes("you are an idiot and a loser") & bit("wit", "worth", "addressed", "several", "dense") == bit("wit", "worth", "addressed", "several", "dense")
     assert votes("You absolute st*pid") & bit("masked") and votes("I will kill you") & bit("threat") and votes("IDIOT! " + prose(2, 300)) & bit("shouted")
     assert VOTERS <= 16
+    for masked in ("sh!t", "stup!d", "b!tch", "1diot", "m0ron", "tr@sh", "a$$h0le"):
+        assert votes("so " + masked + " " + prose(1, 30)) == bit("masked")
 
 
 def test_planted_documents(spark):
@@ -109,3 +111,24 @@ def test_labelled_toxic_documents_are_found_in_every_language(spark):
     got = {r["doc_id"] for r in op2_toxicity(spark, sf).collect()}
     toxic = {r["doc_id"] for r in labels if r["toxic"]}
     assert len(got & toxic) >= 0.8 * len(toxic) and len(got & ({r["doc_id"] for r in labels} - toxic)) <= 0.001 * len(labels)
+
+
+def test_held_out_documents(spark):
+    """Lexicons from the labels of even ids; the toxic ones among the odd ids are no part of what was learnt."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r["doc_id"] for r in toxic_documents(spark, docs, labels.filter("doc_id % 2 = 0")).collect()}
+    odd = labels.filter("doc_id % 2 = 1").collect()
+    toxic, clean = ({r["doc_id"] for r in odd if r["toxic"] == y} for y in (1, 0))
+    print("held out:", len(got & toxic), "of", len(toxic), "and", len(got & clean), "of", len(clean))
+    assert len(got & toxic) >= 0.75 * len(toxic) and len(got & clean) <= 0.001 * len(clean)
+
+
+def test_label_model_by_enumeration():
+    """The joint model's posteriors are those of its parameters, and it explains the masks better than independent voters do."""
+    accuracies = (np.array([0.01, 0.01, 0.01, 0.01]), np.array([0.6, 0.6, 0.5, 0.7]))
+    y, masks, seen, counts = drawn(50_000, accuracies, 0.1, linked=(0, 2), seed=3)
+    m = LabelModel(4).fit(seen, counts)
+    truth = np.array([y[masks == k].mean() if (masks == k).any() else np.nan for k in range(16)])
+    often = np.bincount(masks, minlength=16) > 200
+    assert np.nanmax(np.abs(m.posteriors - truth)[often]) < 0.2
