@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import os
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +32,14 @@ def read_jsonl(spark: SparkSession, path: str, limit: int | None = None) -> Data
 
 
 def read_matrix(spark: SparkSession, path: str, columns: int, kind: str = "f32", limit: int | None = None) -> DataFrame:
-    """(row_idx, values) of raw little-endian rows of ``columns`` numbers, f32 or i32, as fixed-length binary records."""
+    """(row_idx, values) of raw little-endian rows of ``columns`` numbers, f32 or i32. Each task reads its part of the file, by a path or URI that
+    executors see."""
     if kind not in ("f32", "i32"):
         raise ValueError("kind must be f32 or i32")
-    size = Path(path).stat().st_size
+    files, at = fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+    size = files.get_file_info(at).size
+    if size is None:
+        raise FileNotFoundError(path)
     if size % (4 * columns):
         raise Corruption(f"{path} has {size} bytes, which are no whole rows of {columns} numbers")
     n = size // (4 * columns) if limit is None else min(limit, size // (4 * columns))
@@ -40,13 +47,13 @@ def read_matrix(spark: SparkSession, path: str, columns: int, kind: str = "f32",
     dtype = np.dtype("<f4" if kind == "f32" else "<i4")
 
     def rows(batches):
-        import pyarrow as pa
-
-        data = np.memmap(path, dtype=dtype, mode="r").reshape(-1, columns)
         for b in batches:
-            i = b.column(0).to_numpy()
-            flat = pa.array(np.ascontiguousarray(data[i]).ravel())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, columns, dtype=np.int32)), flat)], names=["row_idx", "values"])
+            if b.num_rows == 0:
+                continue
+            i = b.column(0).to_numpy()  # a run of numbers
+            with files.open_input_file(at) as f:
+                flat = np.frombuffer(f.read_at(len(i) * 4 * columns, int(i[0]) * 4 * columns), dtype=dtype)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, columns, dtype=np.int32)), pa.array(flat))], names=["row_idx", "values"])
 
     return numbers.mapInArrow(rows, f"row_idx long, values array<{'float' if kind == 'f32' else 'int'}>")
 

@@ -19,15 +19,32 @@ def shared_dir(spark: SparkSession) -> str:
         return there
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _own.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="sparlode-"))
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = tempfile.mkdtemp(prefix="sparlode-")
+        sc.setCheckpointDir(_own[sc.applicationId])
+    return _own[sc.applicationId]
 
 
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: the lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/sparlode-{tag}-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/sparlode-{tag}-{uuid.uuid4().hex}"
+
+
+def save_at(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """Write df as Parquet in the shared folder and read it back: the lineage ends there and survives lost executors. Also its path."""
+    path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def save(df: DataFrame, tag: str) -> DataFrame:
+    """The same for a table that stays as long as the session's results may need it."""
+    return save_at(df, tag)[0]
+
+
+def drop_path(spark: SparkSession, path: str | None) -> None:
+    if path:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def number_rows(df: DataFrame, order: list, name: str, start: int = 0) -> tuple[DataFrame, int]:
