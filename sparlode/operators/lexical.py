@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import MOST_TF, tokens, tokens_of
+from ..storage_util import save
 from .exact import rank_within
 
 FIELDS = {"text": 1.0, "title": 1.6, "tags": 1.3}
@@ -86,15 +87,16 @@ def scores(post: DataFrame, doc_len: DataFrame, terms: DataFrame, *, stats: Data
 def search_scores(records: DataFrame, fields: dict[str, str], query: str, *, allowed: Column | None = None, id: str = "id", k1: float = K1) -> DataFrame:
     """(qid, id, score) for the text of one query, without postings: 0 is its qid.
 
-    Texts are read and cut into tokens once. What is shuffled for each document is its id, its lengths and those of its tokens that the query
-    has; statistics, document frequencies and scores are all taken from that one exchange.
+    Texts are read and cut into tokens once, when this is called: of each document its id, its lengths and those of its tokens that the
+    query has are written to the shared folder. Statistics, document frequencies and scores are then taken from that narrow table.
     """
     wanted = dict(Counter(tokens_of(query)))
     spark = records.sparkSession
     cut = records.select(F.col(id).alias("id"), (F.lit(True) if allowed is None else F.coalesce(allowed, F.lit(False))).alias("ok"), *(tokens(F.col(c)).alias(f"t_{f}") for f, c in fields.items()))
-    known = F.array(*(F.lit(t) for t in sorted(wanted))) if wanted else F.array().cast("array<string>")
-    hits = F.concat(*(F.transform(F.filter(F.col(f"t_{f}"), lambda t: F.array_contains(known, t)), _tagged(f)) for f in fields))
-    base = cut.select("id", "ok", *((F.size(f"t_{f}").cast("long") if f in fields else F.lit(0).cast("long")).alias(f"len_{f}") for f in FIELDS), hits.alias("hits")).repartition("id")
+    known = sorted(wanted)
+    hits = F.concat(*(F.transform(F.filter(F.col(f"t_{f}"), lambda t: t.isin(known)), _tagged(f)) for f in fields))
+    base = cut.select("id", "ok", *((F.size(f"t_{f}").cast("long") if f in fields else F.lit(0).cast("long")).alias(f"len_{f}") for f in FIELDS), hits.alias("hits"))
+    base = save(base, "query-hits")
     stats = statistics(base)
     df = base.select("id", F.explode(F.array_distinct(F.transform("hits", lambda t: t["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     df = F.broadcast(df.join(literal_terms(spark, query), "term"))  # at most the query's terms
