@@ -266,7 +266,10 @@ def train(
     # A pattern of votes weighs as the square root of its documents, so that rare ones are learnt too.
     _, which, times = np.unique(patterns, return_inverse=True, return_counts=True)
     w, bias = fit_linear(ids, np.array(y), times[which] ** -0.5, len(vocabulary), penalty)
-    return {v: float(x) for v, x in zip(vocabulary, w, strict=True) if x}, float(bias), model
+    weights = {v: float(x) for v, x in zip(vocabulary, w, strict=True) if x}
+    if not weights:  # no word tells texts apart: each is as likely toxic as any, which the share of the sample doesn't say
+        bias = math.log(model.class_balance / (1 - model.class_balance))
+    return weights, float(bias), model
 
 
 def toxic_documents(
@@ -277,7 +280,7 @@ def toxic_documents(
     With ``labels`` (doc_id, toxic), which may be empty, lexicons are learnt from a bounded sample of them (see learn_lexicons; ``learning``
     has its parameters).
 
-    Null or empty text: never toxic. Very long texts are read whole; how often a word occurs doesn't matter. Ties at the
+    Null or empty text: never toxic. A table of too few texts to tell any words apart: none is found toxic. Very long texts are read whole; how often a word occurs doesn't matter. Ties at the
     threshold are not toxic. Repeated rows: each is judged, alike; a null id is reported as null, and one of any kind as it is (labels
     need whole numbers). Empty table: no rows. Extra columns don't matter.
     """
