@@ -1,25 +1,28 @@
 """Operator 6, SimHash near-dedup by segment-popcount embedding.
 
-A document's fingerprint is a 256-bit SimHash of its distinct words. The fingerprint is cut into 128 segments of two
-bits, and the vector of their bit counts is its embedding: the Manhattan distance of two embeddings, over any of the
-segments, is at most the Hamming distance of the fingerprints. The join has three steps.
-
-* A grid of cell width 1 over ``tables`` projections of the embedding, of ``segments`` segments each. A fingerprint goes to its
+A document's fingerprint is a 256-bit SimHash of its distinct words. Copies with equal words share a fingerprint and are folded before
+the join, so a group of thousands of exact copies costs one row. The join finds every pair of fingerprints within ``k`` bits.
+
+* The k + 1 bits that a pair would need to be too far are dealt out over the fingerprint: 11 to each word of 64 bits at k = 43, of these 5 and 6
+  to its halves, of these 2 or 3 to their halves. A pair within k is below its share in some word, there in some half, and there in some
+  quarter. So a quarter of 16 bits names the rows to compare (its own bucket and those at most 1 or 2 bits away, 2.6 % of the pairs of evenly
+  spread fingerprints), half and word drop nearly all of those, and what is left is verified by the Hamming distance. No pair is lost.
+* Fingerprints are cut into blocks by a hash of their id; each pair of blocks is a task, and a few blocks are cut by quarters besides. Below
+  some 10,000 million pairs a task compares them all, as that is cheaper than its million buckets. Blocks and tasks change no result.
+* Of a task's links only a spanning forest leaves, not all pairs; and the components of those edges are found by rounds of star
+  contraction, each written to the shared folder.
+
+``exact=False`` joins by a grid of given size instead, which may lose pairs. The fingerprint is cut into 128 segments of two bits, and the
+vector of their bit counts is its embedding: the Manhattan distance of two embeddings, over any of the segments, is at most the Hamming distance.
+
+* The grid has cell width 1 over ``tables`` projections of the embedding, of ``segments`` segments each. A fingerprint goes to its
   home cell and to ``probes`` of the neighbour cells at Manhattan distance 1: those on the side of the bits that were decided
   with the least majority, as these are the first to differ in a near copy. Two fingerprints that share a cell of either kind
   are a candidate pair; so a table joins the range of Manhattan radius 2 as far as it is likely, and radius 0 always.
 * Over all 128 segments the Manhattan distance, a lower bound, drops the candidates beyond ``k``. Embeddings are kept in unary
-  code for it, two bits a segment, so the distance is one exclusive or and a population count.
-* What is left is verified exactly by the Hamming distance.
-
-The grid grows with the number of distinct fingerprints, see ``grid``: more segments keep the cells small, and more tables and
-probes keep the recall. At k = 43 of 256 bits no grid can be both exact and selective; the recall by distance is stated in the
-README and tested. ``exact=True`` takes the trivial grid of one cell instead, which loses no pair and compares all of them, in blocks.
+  code for it, two bits a segment, so the distance is one exclusive or and a population count. What is left is verified.
 
-Copies with equal words share a fingerprint and are folded before the join, so a group of thousands of exact copies costs one
-row. A cell that holds more than ``hot`` fingerprints is split into blocks, and each pair of blocks is solved in a task of its own.
-Inside a cell only a spanning forest of the verified pairs leaves, not all pairs; and the components of those edges are found by
-rounds of star contraction, each written to the shared folder.
+A cell that holds more than ``hot`` fingerprints is split into blocks, and each pair of blocks is solved in a task of its own.
 """
 
 from __future__ import annotations
@@ -339,36 +342,219 @@ def components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b"
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def _print_batches(least: int):
+def _print_batches(least: int, sides_too: bool):
     def prints(batches):
         for b in slices(batches, "text"):
             found = [signed(t, least) for t in b.column(1).to_pylist()]
+            columns = [b.column(0), pa.array([f for f, _ in found], type=pa.binary())]
+            if not sides_too:
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "fp"])
+                continue
             some = [m for _, m in found if m is not None]
             sides = iter(weak_sides(np.array(some)) if some else [])
             weak = [None if m is None else next(sides).tobytes() for _, m in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f for f, _ in found], type=pa.binary()), pa.array(weak, type=pa.binary())], names=["id", "fp", "weak"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(weak, type=pa.binary())], names=["id", "fp", "weak"])
 
     return prints
 
 
-def fingerprints(docs: DataFrame, *, id: str = "doc_id", text: str = "text", least: int = 8) -> DataFrame:
-    """(id, fp, weak) for each row with an id and a text; weak: see ``weak_sides``."""
+def fingerprints(docs: DataFrame, *, id: str = "doc_id", text: str = "text", least: int = 8, sides: bool = True) -> DataFrame:
+    """(id, fp) and, with ``sides``, weak, for each row with an id and a text; weak: see ``weak_sides``. Only the grid needs it."""
     narrow = docs.select(whole_id(docs, id).alias("id"), col(text).cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    return narrow.mapInArrow(_print_batches(least), "id long, fp binary, weak binary")
+    return narrow.mapInArrow(_print_batches(least, sides), "id long, fp binary" + ", weak binary" * sides)
+
+
+#: Pairs up to which a task compares all; beyond, its buckets of 16 bits cost less.
+ALL_PAIRS = 10_000_000_000
+
+
+def shares(k: int, parts: int) -> list[int]:
+    """k + 1 dealt out over 2, 4, 8 ... parts, evenly at each halving: of two rows within k bits some part differs in less than its share."""
+    out = [k + 1]
+    while len(out) < parts:
+        out = [x for s in out for x in (s // 2, s - s // 2)]
+    return out
+
+
+class _Links:
+    """A spanning forest of the pairs that are within k bits."""
+
+    def __init__(self, prints: np.ndarray, k: int):
+        self.prints, self.k, self.root, self.kept = prints, k, np.arange(len(prints)), []
+
+    def find(self, rows: np.ndarray) -> np.ndarray:
+        root = self.root
+        at = root[rows]
+        while True:
+            up = root[at]
+            if (up == at).all():
+                root[rows] = at
+                return at
+            at = up
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        d = _between(self.prints, a, b)
+        fine = d <= self.k
+        a, b, d = a[fine], b[fine], d[fine]
+        while len(a):
+            x, y = self.find(a), self.find(b)
+            apart = x != y
+            a, b, d, x, y = a[apart], b[apart], d[apart], x[apart], y[apart]
+            # Each root hangs itself under one lesser root: no circle, and one edge for each that goes.
+            high, at = np.unique(np.maximum(x, y), return_index=True)
+            self.root[high] = np.minimum(x, y)[at]
+            self.kept.append(np.stack([a[at], b[at], d[at]]).astype(np.int64))
+
+    def edges(self) -> np.ndarray:
+        return np.concatenate(self.kept, axis=1) if self.kept else np.empty((3, 0), dtype=np.int64)
+
+
+def _all_pairs(links: _Links, rows: np.ndarray, others: np.ndarray, wide: int = 4096, high: int = 64) -> None:
+    """Each of ``rows`` with each of ``others``: two words drop nearly all."""
+    words, k = links.prints.T.copy(), links.k
+    x, near = np.empty((high, wide), dtype=np.uint64), np.empty((high, wide), dtype=bool)
+    d, more = np.empty((high, wide), dtype=np.uint8), np.empty((high, wide), dtype=np.uint8)
+    for at in range(0, len(rows), high):
+        a = rows[at : at + high]
+        mine = words[:2, a]
+        for to in range(0, len(others), wide):
+            b = others[to : to + wide]
+            s = np.s_[: len(a), : len(b)]
+            np.bitwise_count(np.bitwise_xor(mine[0][:, None], words[0, b], out=x[s]), out=d[s])
+            np.bitwise_count(np.bitwise_xor(mine[1][:, None], words[1, b], out=x[s]), out=more[s])
+            np.less_equal(np.add(d[s], more[s], out=d[s]), k, out=near[s])
+            _keep(links, near[s], a, b)
+
+
+def _keep(links: _Links, near: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    n = np.count_nonzero(near)
+    if n > 20_000:  # a large group: those that are together already needn't meet again
+        near &= links.find(a)[:, None] != links.find(b)[None, :]
+    if n:
+        i, j = np.divmod(np.flatnonzero(near), near.shape[1])
+        links.add(a[i], b[j])
+
+
+def _by_quarters(links: _Links, a: np.ndarray, b: np.ndarray, quarters: list[int], most: int = 4_000_000) -> None:
+    """The pairs of a row of ``a`` and one of ``b`` (or within ``a``, if they are the same) that are below their share in one of the quarters."""
+    prints, k, same = links.prints, links.k, a is b
+    in_words, in_halves, in_quarters = (shares(k, WORDS * f) for f in (1, 2, 4))
+    halves, short = prints.view(np.uint32).reshape(-1, 2 * WORDS), prints.view(np.uint16).reshape(-1, 4 * WORDS)
+    every, weight, count = np.arange(65_536), np.bitwise_count(np.arange(65_536)), np.arange(len(b))
+    for q in quarters:
+        masks, least, word = every[weight < in_quarters[q]], in_halves[q // 2], q // 4
+
+        def sort(rows, q=q, word=word):
+            rows = rows[short[rows, q].argsort(kind="stable")]
+            return rows, halves[rows, q // 2], prints[rows, word], np.searchsorted(short[rows, q], np.arange(65_537))
+
+        a_rows, a_half, a_word, a_at = sort(a)
+        b_rows, b_half, b_word, b_at = (a_rows, a_half, a_word, a_at) if same else sort(b)
+        b_size = np.diff(b_at)
+        held, n_held = [], 0
+        for v in np.flatnonzero(np.diff(a_at)).tolist():
+            near = v ^ masks
+            if same:
+                near = near[near <= v]
+            size = b_size[near]
+            total = int(size.sum())
+            if not total:
+                continue
+            there = np.repeat(b_at[near] - size.cumsum() + size, size)
+            there += count[:total]
+            half = b_half[there]
+            step = max(1, most // total)
+            for lo in range(int(a_at[v]), int(a_at[v + 1]), step):
+                hi = min(int(a_at[v + 1]), lo + step)
+                fits = np.bitwise_count(a_half[lo:hi, None] ^ half) < least
+                if hi - lo > 1 and np.count_nonzero(fits) > 20_000:
+                    fits &= links.find(a_rows[lo:hi])[:, None] != links.find(b_rows[there])[None, :]
+                i, j = np.divmod(np.flatnonzero(fits), total)
+                i, j = i + lo, there[j]
+                fine = np.bitwise_count(a_word[i] ^ b_word[j]) < in_words[word]
+                held.append((a_rows[i[fine]], b_rows[j[fine]]))
+                n_held += len(held[-1][0])
+                if n_held > 20_000:
+                    links.add(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, n_held = [], 0
+        if held:
+            links.add(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def near_pairs(prints: np.ndarray, k: int, cut: int | None = None, share: int = 0, of: int = 1, all_pairs: int = ALL_PAIRS) -> np.ndarray:
+    """(row, row, distance) in three lines: a spanning forest of the pairs within k bits, of all rows, or of a row before ``cut`` and one from it on.
+
+    ``share`` of ``of`` parts of the work, of which each pair is in one at least. Up to ``all_pairs`` pairs, each is compared.
+    """
+    links, n = _Links(prints, k), len(prints)
+    a = np.arange(n if cut is None else cut)
+    b = a if cut is None else np.arange(cut, n)
+    if len(a) == 0 or len(b) == 0:
+        pass
+    elif len(a) * len(b) <= all_pairs * (2 if cut is None else 1):
+        size = -(-len(a) // (of * 8))  # by strips, as the first rows of a triangle meet the most
+        for s in range(share, of * 8, of):
+            strip = a[s * size : (s + 1) * size]
+            if len(strip):
+                _all_pairs(links, strip, b if cut is not None else b[strip[0] :])
+    else:
+        _by_quarters(links, a, b, list(range(4 * WORDS))[share::of])
+    return links.edges()
+
+
+def _exact_edges(heads: DataFrame, k: int, rows: int) -> DataFrame:
+    """(a, b, distance): a spanning forest of the pairs of each two blocks of about ``rows`` fingerprints."""
+    blocks = max(1, math.ceil(heads.count() / rows))
+    of = max(1, 16 // blocks)
+    pairs = [(i, j) for i in range(blocks) for j in range(i, blocks)]
+    number = {p: n for n, p in enumerate(pairs)}
+    tasks = [[number[min(i, j), max(i, j)] for j in range(blocks)] for i in range(blocks)]
+
+    def spread(batches):
+        for b in batches:
+            own = block_of(b.column(0).to_numpy(), blocks)
+            for i in np.unique(own).tolist():
+                here = np.flatnonzero(own == i)
+                ids, fp = b.column(0).take(pa.array(here)), b.column(1).take(pa.array(here))
+                side = pa.array(np.full(len(here), i, dtype=np.int32))
+                for t in tasks[i]:
+                    for s in range(of):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(here), t * of + s, dtype=np.int32)), side, ids, fp], names=["task", "block", "id", "fp"])
+
+    def solve(batches):
+        held = [
+            (b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.uint64).reshape(-1, WORDS))
+            for b in batches if b.num_rows
+        ]
+        if not held:
+            return
+        task, block, ids, prints = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
+        i, j = pairs[int(task[0]) // of]
+        order = block.argsort(kind="stable")
+        ids, prints = ids[order], prints[order]
+        a, b, d = near_pairs(prints, k, None if i == j else int((block == i).sum()), int(task[0]) % of, of)
+        a, b = ids[a], ids[b]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d.astype(np.int32))], names=["a", "b", "distance"])
+
+    rows_of_tasks = heads.select("id", "fp").mapInArrow(spread, "task int, block int, id long, fp binary")
+    return rows_of_tasks.repartitionById(len(pairs) * of, F.col("task")).mapInArrow(solve, "a long, b long, distance int")
 
 
 def near_edges(
     spark: SparkSession, heads: DataFrame, *, k: int = 43, tables: int | None = None, segments: int | None = None, probes: int | None = None,
-    exact: bool = False, hot: int = 50_000,
+    exact: bool = True, hot: int | None = None,
 ) -> DataFrame:
-    """(a, b, distance) over distinct fingerprints (id, fp, weak): pairs within k bits, as a spanning forest of each cell.
+    """(a, b, distance) over distinct fingerprints (id, fp, and weak for a grid): the pairs within k bits, as spanning forests.
 
-    The grid is that of the number of heads where it isn't given. At most 100,000 cells of over ``hot`` rows, the largest, are split.
+    All pairs, in blocks of ``hot`` rows (1,000,000), or with ``exact=False`` those that a grid finds. The grid is that of the number of
+    heads where it isn't given. At most 100,000 cells of over ``hot`` rows (50,000), the largest, are split.
     """
+    if exact:
+        return _exact_edges(heads, k, hot or 1_000_000)
+    hot = hot or 50_000
     usual = grid(heads.count()) if tables is None or segments is None or probes is None else (0, 0, 0)
     tables, segments, probes = (a if a is not None else b for a, b in zip((tables, segments, probes), usual, strict=True))
-    if exact:
-        tables, segments, probes = 1, 0, 0
     chosen = projections(tables, segments)
     crowded = heads.mapInArrow(_crowded(chosen, probes), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     split = {r[0]: math.ceil(2 * r[1] / hot) for r in crowded.filter(F.col("n") > hot).orderBy(F.desc("n"), "cell").limit(100_000).collect()}
@@ -379,18 +565,19 @@ def near_edges(
 
 def near_duplicates(
     spark: SparkSession, docs: DataFrame, *, id: str = "doc_id", text: str = "text",
-    k: int = 43, tables: int | None = None, segments: int | None = None, probes: int | None = None, least: int = 8, exact: bool = False, hot: int = 50_000,
+    k: int = 43, tables: int | None = None, segments: int | None = None, probes: int | None = None, least: int = 8, exact: bool = True, hot: int | None = None,
 ) -> DataFrame:
     """(doc_id, kept_doc_id): one row for each id that goes, with the least id of its group, which stays.
 
-    A group is a connected component of pairs within k of 256 bits. Null id or null text: in no group. Empty text and text
+    A group is a connected component of pairs within k of 256 bits; all such pairs count, unless ``exact=False``. Null id or null text: in no group. Empty text and text
     without words: grouped with equal texts only; fewer than ``least`` distinct words: with texts of equal words only. Very
     long texts count whole. Ties: the least id stays. Rows that repeat an id: one document, of all those texts. Empty
     table: no rows. Extra columns don't matter. Ids must be whole numbers.
     """
     need(docs, id, text)
-    prints, path = save(spark, fingerprints(docs, id=id, text=text, least=least), "simhash-prints")
-    heads, heads_path = save(spark, prints.groupBy("fp").agg(F.min("id").alias("id"), F.min_by("weak", "id").alias("weak")).select("id", "fp", "weak"), "simhash-heads")
+    prints, path = save(spark, fingerprints(docs, id=id, text=text, least=least, sides=not exact), "simhash-prints")
+    heads = prints.groupBy("fp").agg(F.min("id").alias("id"), *([] if exact else [F.min_by("weak", "id").alias("weak")]))
+    heads, heads_path = save(spark, heads.select(*prints.columns), "simhash-heads")
     copies = prints.join(heads.select(F.col("id").alias("b"), "fp"), "fp").select(F.col("id").alias("a"), "b").filter("a <> b")
     near = near_edges(spark, heads, k=k, tables=tables, segments=segments, probes=probes, exact=exact, hot=hot).select("a", "b")
     near, near_path = save(spark, near, "simhash-near")

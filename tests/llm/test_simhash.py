@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from sparlode.llm.queries import op6_simhash
-from sparlode.llm.simhash import cells_of, components, drop_near_duplicates, embed, fingerprint, fingerprints, grid, near_duplicates, near_edges, projections, signed, unary, weak_sides
+from sparlode.llm.simhash import cells_of, components, drop_near_duplicates, embed, fingerprint, fingerprints, grid, near_duplicates, near_edges, near_pairs, projections, signed, unary, weak_sides
 
 from .conftest import prose
 
@@ -118,6 +118,49 @@ def test_every_link_by_all_pairs_in_blocks_and_in_one_cell(spark):
     assert gone == {i: r for i, r in groups([(a, b) for a, b in itertools.combinations(prints, 2) if hamming(prints[a], prints[b]) <= K], prints).items() if i != r}
 
 
+def planted(n: int, k: int, seed: int) -> np.ndarray:
+    """(3 n, 4) words: drawn ones, each once more with k - 1 to k + 1 bits turned anywhere, and with k // 2."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2, size=(n, 256), dtype=np.uint8)
+    turned = [base]
+    for counts in (rng.integers(max(0, k - 1), k + 2, size=n), np.full(n, k // 2)):
+        turned.append(base ^ (rng.random((n, 256)).argsort(axis=1).argsort(axis=1) < counts[:, None]))
+    return np.packbits(np.concatenate(turned), axis=1).view(np.uint64)
+
+
+@pytest.mark.parametrize("k", [0, 3, 20, K, 60])
+def test_near_pairs_are_those_of_all_pairs_by_any_way(k):
+    x = planted(200, k, k)
+    n, d = len(x), np.bitwise_count(x[:, None] ^ x[None]).sum(axis=2)
+    want = groups(np.argwhere(np.triu(d <= k, 1)).tolist(), range(n))
+    for all_pairs in (0, 10**10):  # by quarters, and each with each
+        whole = [near_pairs(x, k, share=s, of=3, all_pairs=all_pairs) for s in range(3)]
+        cut = [near_pairs(x[:250], k, all_pairs=all_pairs), near_pairs(x[250:], k, all_pairs=all_pairs) + [[250], [250], [0]], near_pairs(x, k, 250, all_pairs=all_pairs)]
+        for found in (whole, cut):
+            a, b, far = np.concatenate(found, axis=1)
+            assert (d[a, b] == far).all() and (far <= k).all()
+            assert groups(zip(a.tolist(), b.tolist(), strict=True), range(n)) == want
+
+
+def test_a_large_group_by_quarters():
+    rng = np.random.default_rng(4)
+    x = np.packbits(rng.random((3000, 256)) < 0.04, axis=1).view(np.uint64)
+    a, b, d = near_pairs(x, K, all_pairs=0)
+    assert len(a) == 2999 and len(set(groups(zip(a.tolist(), b.tolist(), strict=True), range(3000)).values())) == 1 and (d <= K).all()
+
+
+def test_no_link_is_lost_however_the_bits_fall(spark):
+    x = planted(300, K, 9)
+    rows = [(i, x[i].tobytes(), None) for i in range(len(x))]
+    heads = spark.createDataFrame(rows, "id long, fp binary, weak binary")
+    d = np.bitwise_count(x[:, None] ^ x[None]).sum(axis=2)
+    want = groups(np.argwhere(np.triu(d <= K, 1)).tolist(), range(len(x)))
+    for how in ({}, {"hot": 100}):
+        edges = [tuple(e) for e in near_edges(spark, heads, **how).collect()]
+        assert all(a < b and d[a, b] == n <= K for a, b, n in edges)
+        assert groups([e[:2] for e in edges], range(len(x))) == want
+
+
 def test_recall_of_groups_against_all_pairs(spark):
     rows, n = [], 0
     for g in range(60):
