@@ -6,6 +6,9 @@ of all tokens (the suffix matches of each prefix) gives the candidates; a candid
 of the prefix before it is compatible with it, that is, if BPE of p's bytes followed by t's bytes is [p, t]. The ids are
 then read off the back-pointers. Time is linear in the text for any text, one of a million letters without a space included.
 
+Short pre-tokens that a slice of rows has and the table of known ones lacks are merged all at once instead, as rows of a matrix: in each
+round every row makes its merge of the least rank, the leftmost of these.
+
 The pair test walks down the two tokens' merges along their common edge, and its results are kept in a bounded table, like the
 encodings of pre-tokens that recur. Encoding is a map over rows: nothing is shuffled, texts are read once.
 """
@@ -15,6 +18,7 @@ from __future__ import annotations
 import base64
 import uuid
 from collections.abc import Iterable
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -29,6 +33,8 @@ from .common import col, fresh, need, slices, worker_state
 #: How a text is cut before BPE: contractions, letters, digits and signs with a space before them, white space.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Bytes of a pre-token that is merged in a matrix with others.
+_SHORT = 32
 #: Pre-tokens whose ids a worker keeps (about 250 bytes each), and pairs.
 _KEPT = 300_000
 
@@ -78,6 +84,12 @@ class Encoder:
                 trie.add_word(t.decode("latin-1"), i)
         trie.make_automaton()
         self.suffixes = trie.iter
+        self.single = np.full(256, -1, dtype=np.int64)
+        for i, t in enumerate(tokens):
+            if len(t) == 1:
+                self.single[t[0]] = i
+        made = np.array([(a * len(tokens) + b, i) for (a, b), i in self.merged.items()], dtype=np.int64).reshape(-1, 2)
+        self.keys, self.made = made[made[:, 0].argsort()].T.copy()
         self.whole = {t.decode("utf-8"): [self.numbers[i]] for i, t in enumerate(tokens) if (len(t) == 1 or self.left[i] != i) and _is_text(t)}
 
     def compatible(self, p: int, t: int) -> bool:
@@ -128,6 +140,85 @@ class Encoder:
         out.reverse()
         return out
 
+    def _merges(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The token that two are merged to; the number of tokens if there is none."""
+        none = len(self.tokens)
+        if len(self.keys) == 0:
+            return np.full(a.shape, none, dtype=np.int64)
+        key = np.where((a >= 0) & (b >= 0), a * none + b, -1)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.made[at], none)
+
+    def short_pieces(self, data: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of pre-tokens of up to _SHORT bytes each, by merging in rank order."""
+        if not data:
+            return []
+        sizes, none, numbers = np.array([len(d) for d in data]), len(self.tokens), self.numbers
+        out: list[tuple[int, ...]] = [()] * len(data)
+        for low, wide in ((0, 8), (8, 16), (16, _SHORT)):
+            rows = np.flatnonzero((sizes > low) & (sizes <= wide))
+            if not len(rows):
+                continue
+            raw = np.frombuffer(b"".join([data[r].ljust(wide, b"\0") for r in rows.tolist()]), dtype=np.uint8).reshape(-1, wide)
+            inside = np.arange(wide) < sizes[rows, None]
+            ids = np.where(inside, self.single[raw], -1)
+            if (inside & (ids < 0)).any():
+                raise ValueError("the vocabulary lacks bytes of this text")
+            # A last column without a token or a merge moves in from the right.
+            ids = np.concatenate([ids, np.full((len(rows), 1), -1)], axis=1)
+            ranks = np.full(ids.shape, none, dtype=np.int64)
+            ranks[:, :-1] = self._merges(ids[:, :-1], ids[:, 1:])
+            columns = np.arange(wide + 1)
+            while True:
+                at = ranks.argmin(axis=1)
+                best = np.take_along_axis(ranks, at[:, None], axis=1)[:, 0]
+                done = best == none
+                if done.any():
+                    for r, row in zip(rows[done].tolist(), ids[done].tolist(), strict=True):
+                        out[r] = tuple([numbers[t] for t in row[: row.index(-1)]])
+                    go = ~done
+                    rows, ids, ranks, at, best = rows[go], ids[go], ranks[go], at[go], best[go]
+                if not len(rows):
+                    break
+                every = np.arange(len(rows))
+                ids[every, at] = best
+                right = np.minimum(columns + (columns > at[:, None]), wide)
+                ids = np.take_along_axis(ids, right, axis=1)
+                ranks = np.take_along_axis(ranks, right, axis=1)
+                ranks[every, at] = self._merges(best, ids[every, at + 1])
+                some = at > 0
+                ranks[every[some], at[some] - 1] = self._merges(ids[every[some], at[some] - 1], best[some])
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> list[list[int] | None]:
+        """The ids of each text, None for None. Pre-tokens that aren't known are found out together."""
+        words, cuts = self.words, [None if t is None else self.cut(t) for t in texts]
+        distinct = set(chain.from_iterable([c for c in cuts if c]))
+        new = [w for w in distinct if w not in words]
+        if len(words) + len(new) > _KEPT:
+            words.clear()
+            new = list(distinct)
+        short, long = [], []
+        for w in new:
+            ids = self.whole.get(w)
+            if ids is not None:
+                words[w] = ids
+                continue
+            data = w.encode("utf-8", "surrogatepass")
+            if len(data) <= _SHORT:
+                short.append((w, data))
+            else:
+                words[w] = self.piece(data)
+                if len(w) > 64:
+                    long.append(w)
+        words.update(zip([w for w, _ in short], self.short_pieces([d for _, d in short]), strict=True))
+        out = [None if c is None else list(chain.from_iterable(map(words.__getitem__, c))) for c in cuts]
+        for w in long:
+            del words[w]
+        if len(words) > _KEPT:
+            words.clear()
+        return out
+
     def encode(self, text: str) -> list[int]:
         words, out = self.words, []
         for w in self.cut(text):
@@ -195,7 +286,7 @@ def bpe_encode(
         e = get()
         for b in slices(batches, source, 4_000_000):
             texts = b.column(len(names)).to_pylist()
-            rows = [None if t is None else e.encode(t) for t in texts]
+            rows = e.encode_all(texts)
             columns = [*(b.column(k) for k in range(len(names))), pa.array(rows, type=pa.list_(pa.int32()))]
             if check:
                 columns.append(pa.array([None if t is None else e.decode_bytes(r) == t.encode("utf-8", "surrogatepass") for t, r in zip(texts, rows, strict=True)], type=pa.bool_()))

@@ -36,6 +36,19 @@ def test_same_ids_as_another_encoder(both):
         assert ours.decode(ours.encode(text)) == text
 
 
+def test_short_words_together_are_those_of_the_automaton(both):
+    ours, theirs = both
+    rng = random.Random(5)
+    pieces = [*"etaoinshr", " ", "th", "he", "ing", "é", "漢", "😀", "!!", "--", "  ", "0", "\x00"]
+    words = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 16))) for _ in range(5000)]
+    data = [d for w in ("a", "aaaaaaa", "aaaaaaaa", "aaaaaaaaa", "a" * 32, *words) if len(d := w.encode()) <= 32]
+    assert ours.short_pieces(data) == [tuple(ours.piece(d)) for d in data] and ours.short_pieces([]) == []
+    texts = [*words, None, "", "x" * 5000, " ".join(words)]
+    for _ in range(2):  # unknown and known
+        assert ours.encode_all(texts) == [None if t is None else theirs.encode_ordinary(t) for t in texts]
+    assert max(map(len, ours.words)) <= 64
+
+
 def test_prefixes_of_words_without_end(both):
     ours, theirs = both
     rng = random.Random(1)
