@@ -98,6 +98,6 @@ def batch_search(assigned: DataFrame, queries: DataFrame, k: int, centroids: np.
         x = np.array(v.tolist(), dtype=np.float64).reshape(len(v), shared.value.shape[1])
         return pd.Series([r for k in range(0, len(x), 4096) for r in nearest_cells(x[k : k + 4096], shared.value, nprobe).tolist()], dtype=object)
 
-    q = queries.select(F.col("qid").cast("long").alias("qid"), V.as_vector(F.col("vector")).alias("qv")).withColumn("g", F.explode(cells("qv")))
-    r = assigned.select(F.col(id).cast("long").alias("id"), V.as_vector(F.col(vector)).alias("v"), F.col("cell").alias("g"))
+    q = queries.select(F.col("qid").cast("long").alias("qid"), F.col("vector").alias("qv")).withColumn("g", F.explode(cells(V.as_vector(F.col("qv")))))
+    r = assigned.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v"), F.col("cell").alias("g"))
     return rank_within(topk_in_groups(r, q, k, metric), k, "dist", "id").select("qid", "rank", "id", "dist")
