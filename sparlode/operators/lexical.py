@@ -13,6 +13,8 @@ from .exact import rank_within
 
 FIELDS = {"text": 1.0, "title": 1.6, "tags": 1.3}
 B, K1 = 0.75, 1.2
+#: Hits of a table of queries are broadcast up to this number.
+_BEST = 200_000
 
 
 def postings(records: DataFrame, fields: dict[str, str], id: str = "id") -> DataFrame:
@@ -84,6 +86,22 @@ def scores(post: DataFrame, doc_len: DataFrame, terms: DataFrame, *, stats: Data
     return _folded(x, field_tf(), k1)
 
 
+def search_table(post: DataFrame, doc_len: DataFrame, queries: DataFrame, k: int, *, allowed: DataFrame | None = None) -> DataFrame:
+    """(qid, rank, id, score): the k best for each query (qid, text). Queries of the same terms are scored once, however many they are, and each
+    gets their k rows."""
+    words = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term"))  # a token has no space
+    bag = words.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("bag"))
+    bag = save(bag.withColumn("bag_id", F.xxhash64("bag")), "query-bags")
+    bags = bag.select("bag_id", "bag").distinct()
+    if bags.groupBy("bag_id").count().filter("count > 1").limit(1).count():  # two of one hash: each query for itself
+        bag = bag.withColumn("bag_id", F.col("qid"))
+        bags = bag.select("bag_id", "bag")
+    terms = bags.select(F.col("bag_id").alias("qid"), F.explode(F.split("bag", " ")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    best = save(topk(scores(post, doc_len, terms, allowed=allowed), k).withColumnRenamed("qid", "bag_id"), "bag-hits")
+    best = F.broadcast(best) if best.limit(_BEST + 1).count() <= _BEST else best
+    return bag.select("qid", "bag_id").join(best, "bag_id").select("qid", "rank", "id", "score")
+
+
 def search_scores(records: DataFrame, fields: dict[str, str], query: str, *, allowed: Column | None = None, id: str = "id", k1: float = K1) -> DataFrame:
     """(qid, id, score) for the text of one query, without postings: 0 is its qid.
 

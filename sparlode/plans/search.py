@@ -141,8 +141,7 @@ def search_batch(
         near = exact.batch_topk(live, queries, k, metric).withColumn("score", V.score(metric, F.col("dist")))
     if has_text:
         post, doc_len = lexical_tables or (lexical.postings(records, fields), lexical.lengths(records, fields))
-        scored = lexical.scores(post, doc_len, lexical.query_terms(queries), allowed=live if filter is not None else None)
-        lex = lexical.topk(scored, max(k if lexical_top_k is None else lexical_top_k, top_k))
+        lex = lexical.search_table(post, doc_len, queries, max(k if lexical_top_k is None else lexical_top_k, top_k), allowed=live if filter is not None else None)
     if lex is None:
         hits = near
     elif near is None:

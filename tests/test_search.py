@@ -122,3 +122,17 @@ def test_plan_is_narrow(spark, tmp_path):
     plan = exact.topk(r, [1, 2], 3)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "ReadSchema: struct<id:bigint,embedding:array<float>>" in plan
     assert r.filter(F.col("id") == 3).count() == 1
+
+
+def test_equal_texts_are_scored_once(spark, monkeypatch):
+    r = records(spark, [(1, [1], {"text": "alpha"}), (2, [1], {"text": "alpha beta beta"}), (3, [1], {"text": "gamma"}), (4, [1], {"text": "alpha"})])
+    texts = ["Alpha beta", "beta, alpha", "alpha", "  ", None]
+    q = spark.createDataFrame(list(enumerate(texts * 20)), "qid long, text string")
+    asked, plain = [], lexical.scores
+    monkeypatch.setattr(lexical, "scores", lambda post, lens, terms, **how: asked.append(terms.select("qid").distinct().count()) or plain(post, lens, terms, **how))
+    got = sorted((x["qid"], x["rank"], x["id"], x["score"]) for x in search_batch(r, q, 2).collect())
+    assert asked == [2]
+    for n, text in enumerate(texts):
+        same = sorted((x["rank"], x["id"], x["score"]) for x in search_batch(r, q.filter(f"qid = {n}"), 2).collect())
+        assert [[g[1:] for g in got if g[0] == m] for m in range(n, 100, 5)] == [same] * 20
+        assert len(same) == (2 if (text or "").strip() else 0)
