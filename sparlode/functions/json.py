@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SerdeError
+from .pieces import pieces
 
 #: Paths whose values are kept in the map column ``payload``, so that an equality is a native predicate.
 INDEXED_PATHS = tuple(f"{p}{k}" for p in ("", "metadata.") for k in ("doc_id", "source", "type", "created_at", "tags", "session_id"))
@@ -78,10 +81,22 @@ def derive_one(text: str) -> dict:
     return {"document": canonical(d), "text": extract_text(d), "title": extract_title(d) or "", "tags_text": " ".join(extract_tags(d)), "payload": payload}
 
 
-@F.pandas_udf(DERIVED)
-def derive(document: pd.Series) -> pd.DataFrame:
+_ARROW = pa.struct([(n, pa.map_(pa.string(), pa.string()) if n == "payload" else pa.string()) for n in DERIVED.names])
+
+
+def _row(text: str | None) -> dict:
+    if text is None:
+        return dict.fromkeys(DERIVED.names)
+    d = derive_one(text)
+    return d | {"payload": list(d["payload"].items())}
+
+
+@F.arrow_udf(DERIVED)
+def derive(documents: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The canonical document, its text, title and tags, and the payload map."""
-    return pd.DataFrame([derive_one(t) if t is not None else dict.fromkeys(DERIVED.names) for t in document], columns=DERIVED.names, dtype=object)
+    for batch in documents:
+        for (piece,) in pieces(batch):
+            yield pa.array([_row(t) for t in piece.to_pylist()], type=_ARROW)
 
 
 def json_path(document: Column, path: str) -> Column:

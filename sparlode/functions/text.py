@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .pieces import pieces
+
 #: Runs of letters and numbers, after lower-casing.
 TOKEN = r"([\p{IsAlphabetic}\p{N}]+)"
 MOST_TF = 65_535
@@ -59,9 +64,11 @@ def split_text(text: str, size: int = 512, overlap: int = 64, tail: str = "all")
 def split(text: Column, size: int = 512, overlap: int = 64, tail: str = "all") -> Column:
     """An array of chunks; null text has none."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([split_text(t, size, overlap, tail) if t else [] for t in texts], dtype=object)
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for (piece,) in pieces(texts):
+                yield pa.array([split_text(t, size, overlap, tail) if t else [] for t in piece.to_pylist()], type=pa.list_(pa.string()))
 
     return run(text)
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 from ..errors import Internal, InvalidConfig
 from ..functions import text as text_
 from ..functions.json import canonical
+from ..functions.pieces import pieces
 from ..operators.rerank import document_of
 from ..providers import DeterministicEmbedder, Embedder, Reranker, embed_table
 from ..sources.store import Database
@@ -62,17 +65,17 @@ class RagPipeline:
         model = self.embedder.model_id
         chunks = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "metadata", F.posexplode(text_.split(F.col("text"), self.config.chunk_size, self.config.chunk_overlap, self.config.tail)).alias("chunk_idx", "text"))
 
-        @F.pandas_udf(T.StringType())
-        def build(ids, metadata, index, chunk):
-            import pandas as pd
-
-            out = []
-            for i, m, k, c in zip(ids, metadata, index, chunk, strict=True):
-                meta = {} if m is None else json.loads(m)
-                if not isinstance(meta, dict):
-                    raise InvalidConfig("metadata must be a JSON object")
-                out.append(canonical(chunk_document(i, meta, int(k), c, model)))
-            return pd.Series(out, dtype=object)
+        @F.arrow_udf(T.StringType())
+        def build(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for batch in batches:
+                for piece in pieces(*batch):
+                    out = []
+                    for i, m, k, c in zip(*(x.to_pylist() for x in piece), strict=True):
+                        meta = {} if m is None else json.loads(m)
+                        if not isinstance(meta, dict):
+                            raise InvalidConfig("metadata must be a JSON object")
+                        out.append(canonical(chunk_document(i, meta, k, c, model)))
+                    yield pa.array(out, type=pa.string())
 
         return chunks.withColumn("document", build("doc_id", "metadata", "chunk_idx", "text"))
 
