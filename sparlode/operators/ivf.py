@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import vector as V
 from .exact import BROADCAST_BYTES, rank_within, topk_in_groups, vectors_of, with_distance
 
+#: Pairs of vectors and centroids whose distances a task holds at once.
+_TILE = 1 << 19
+
 
 def train(records: DataFrame, cells: int, iterations: int = 5, vector: str = "embedding", id: str = "id") -> np.ndarray:
     """Centroids by Lloyd's iterations over all records, from those of the least hashes; each iteration is one aggregation, and the
@@ -44,7 +47,10 @@ def train(records: DataFrame, cells: int, iterations: int = 5, vector: str = "em
 
 
 def nearest_cells(v: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
-    """(rows, n) numbers of the nearest centroids, of equals the first; near ties are settled by the exact order of sums."""
+    """(rows, n) numbers of the nearest centroids, of equals the first; near ties are settled by the exact order of sums. In tiles of _TILE pairs."""
+    step = max(1, _TILE // max(1, len(centroids)))
+    if len(v) > step:
+        return np.concatenate([nearest_cells(v[lo : lo + step], centroids, n) for lo in range(0, len(v), step)])
     d = V.distance_matrix("l2", v, centroids)
     n = min(n, len(centroids))
     if n < len(centroids):
@@ -57,7 +63,7 @@ def nearest_cells(v: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
     else:
         a, c = np.divmod(np.arange(d.size), d.shape[1])
         d = V.distance_rows("l2", v[a], centroids[c]).reshape(d.shape)
-    return d.argsort(axis=1, kind="stable")[:, :n]
+    return d.argsort(axis=1, kind="stable")[:, :n].copy()  # else all of it stays
 
 
 def assign(records: DataFrame, centroids: np.ndarray, vector: str = "embedding", name: str = "cell") -> DataFrame:
