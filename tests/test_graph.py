@@ -107,3 +107,22 @@ def test_a_forest_covers_all_records(cloud):
     got = vptree.search_seeds(forest, q, 5)
     assert got.count() == 300 * 5 and got.select("id").distinct().count() > 50
     assert got.filter("rank = 1 and qid = id").count() > 60
+
+
+def test_walks_of_all_queries_at_once(spark, cloud, monkeypatch):
+    """The same seeds as tree by tree and query by query; records are shuffled once, not once for each block of queries."""
+    rows = sorted((r["id"], list(r["embedding"])) for r in cloud.collect())
+    bucket = {r["id"]: r["b"] for r in cloud.select("id", F.expr("int(pmod(xxhash64(id), 6))").alias("b")).collect()}
+    trees = []
+    for b in range(6):
+        mine = [(i, v) for i, v in rows if bucket[i] == b]
+        trees.append(vptree.VpTree(np.array([i for i, _ in mine]), np.array([v for _, v in mine]), "l2"))
+    q = cloud.select(F.col("id").alias("qid"), F.col("embedding").alias("vector"))
+    for most, bytes in ((5, 64 << 20), (60, 64 << 20), (5, 5000)):
+        monkeypatch.setattr(vptree, "BROADCAST_BYTES", bytes)
+        found = vptree.search_seeds(vptree.build(cloud, "l2", size=50), q, most)
+        assert "FlatMapCoGroups" not in found._jdf.queryExecution().toString()
+        got = {}
+        for r in found.orderBy("qid", "rank").collect():
+            got.setdefault(r["qid"], []).append(r["id"])
+        assert got == {i: [n for _, n in sorted(x for t in trees for x in t.met(v, most))[:most]] for i, v in rows}
