@@ -136,3 +136,14 @@ def test_equal_texts_are_scored_once(spark, monkeypatch):
         same = sorted((x["rank"], x["id"], x["score"]) for x in search_batch(r, q.filter(f"qid = {n}"), 2).collect())
         assert [[g[1:] for g in got if g[0] == m] for m in range(n, 100, 5)] == [same] * 20
         assert len(same) == (2 if (text or "").strip() else 0)
+
+
+def test_postings_of_any_fields(spark):
+    """A token's field is told by its place; no function is called for each token."""
+    d = spark.createDataFrame([(1, "a b a", "a", None), (2, None, "c c", "b a"), (2, "c", None, None), (3, "", "", "")], "id long, text string, title string, tags string")
+    three = lexical.postings(d, {"title": "title", "text": "text", "tags": "tags"})
+    assert "lambda" not in three._jdf.queryExecution().toString()
+    rows = sorted((r["term"], r["id"], r["tf_text"], r["tf_title"], r["tf_tags"]) for r in three.collect())
+    assert rows == [("a", 1, 2, 1, 0), ("a", 2, 0, 0, 1), ("b", 1, 1, 0, 0), ("b", 2, 0, 0, 1), ("c", 2, 1, 2, 0)]
+    one = lexical.postings(d, {"title": "title"})
+    assert sorted(tuple(r) for r in one.select("term", "id", "tf_text", "tf_title", "tf_tags").collect()) == [("a", 1, 0, 1, 0), ("c", 2, 0, 2, 0)]
